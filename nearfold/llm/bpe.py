@@ -23,14 +23,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfold.llm.common import fresh, slices
+from nearfold.llm.common import fresh, slices, small_batches
 
 #: A match is settled once this many characters after its start are known (the longest
 #: contraction of the pattern has three).
 LOOK = 3
 
 #: Pieces that a worker remembers.
-MEMO = 300_000
+MEMO = 100_000
 
 
 class Encoder(dict):
@@ -110,6 +110,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     if not 0 < overlap < chunk_chars:
         raise ValueError("overlap must lie between 0 and chunk_chars")
     spark = docs.sparkSession
+    small_batches(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != out_col.lower()]
     text = fresh("body", keep)
     frame = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(text))
@@ -177,14 +178,15 @@ def decode(frame: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_co
     binary. Null ids give empty bytes; an id without a rank raises KeyError."""
     keep = [c for c in (frame.columns if keep is None else keep) if c.lower() != out_col.lower()]
     ids = fresh("ids", keep)
+    small_batches(frame.sparkSession)
     ranks = frame.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {int(b): base64.b64decode(a) for a, b in (x.split() for x in ranks.value.splitlines() if x)}
         of = table.__getitem__
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
                 raw = [b"".join(map(of, x or ())) for x in b.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(raw, pa.binary())], names=[*keep, out_col])
 

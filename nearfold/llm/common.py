@@ -47,6 +47,12 @@ def forget(spark: SparkSession) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 512, chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut to at most `rows` rows and, but for single rows, `chars` bytes of
     the column, so that a worker's memory follows one slice and never a partition."""

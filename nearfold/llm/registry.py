@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfold.llm import bpe, rules
+from nearfold.llm import bpe, html_text, mixing, rules, urls
 from nearfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,22 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.compression_rules(table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_bad_chunks")
+
+
+@query
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+@query
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_by_source(table(spark, sf_dir, "documents", "doc_id", "text", "source"), ["doc_id"])
+
+
+#: (verdict, host, start of the path): fixed values of the query.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+@query
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])

@@ -1,0 +1,102 @@
+import itertools
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from nearfold.llm import mixing
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def documents(n=600, seed=2):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        source = rng.choice(["big"] * 12 + ["a", "b", "ü", None])
+        out.append((i, " ".join(["w"] * rng.choice([0, 1, 5, 5, 20, 60])) if i % 50 else None, source, 0))
+    return out
+
+
+def by_hand(sizes, weights, most):
+    """Shares again and again until none is above, as the definition says."""
+    total, share = float(sum(sizes)), [0.0] * len(sizes)
+    excess, open_ = total, set(range(len(sizes)))
+    while excess > 1e-9 and open_:
+        by = sum(weights[i] for i in open_)
+        for i in open_:
+            share[i] += excess * weights[i] / by
+        excess = 0.0
+        for i in list(open_):
+            if share[i] >= most * sizes[i]:
+                excess += share[i] - most * sizes[i]
+                share[i] = most * sizes[i]
+                open_.discard(i)
+    return share
+
+
+@pytest.mark.parametrize("sizes", [[100, 1, 1], [5, 5, 5], [1000, 0, 3, 7, 2], [0, 0], [], [7]])
+def test_targets(sizes):
+    weights = [1, 2, 3, 1, 2][: len(sizes)]
+    assert mixing.targets(sizes, weights) == pytest.approx(by_hand(sizes, weights, 3.0))
+
+
+def test_mix_by_source_meets_targets_and_reruns_agree(spark):
+    rows = documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, SIZE int")
+    out = [r.asDict() for r in mixing.mix_by_source(docs, ["doc_id", "source"]).collect()]
+    assert sorted(r["doc_id"] for r in out) == [r[0] for r in rows]
+    size = {i: len(WORD.findall(t or "")) for i, t, _, _ in rows}
+    names = sorted({s for *_, s, _ in rows if s}) + [None]
+    totals = [sum(size[i] for i, _, s, _ in rows if s == x) for x in names]
+    wanted = by_hand(totals, [1, 2, 3, 1, 2][: len(names)], 3.0)
+    for x, total, target in zip(names, totals, wanted):
+        mine = [r for r in out if r["source"] == x]
+        assert {r["source_size"] for r in mine} == {total}
+        assert all(r["target"] == pytest.approx(target) for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - target) <= 31
+        assert max(r["taken"] / max(1, size[r["doc_id"]]) for r in mine) - min(r["taken"] / size[r["doc_id"]] for r in mine if size[r["doc_id"]]) <= 1
+    assert all(r["size"] == size[r["doc_id"]] and r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0) for r in out)
+    again = mixing.mix_by_source(docs.repartition(3).orderBy(F.desc("doc_id")), ["doc_id"]).collect()
+    assert {r["doc_id"]: r["taken"] for r in again} == {r["doc_id"]: r["taken"] for r in out}
+
+
+def test_flow_is_of_least_cost():
+    rng = random.Random(4)
+    for _ in range(60):
+        patterns = {p: rng.randint(0, 3) for p in [("a",), ("b",), ("a", "b")]}
+        quotas = {"a": rng.randint(0, 5), "b": rng.randint(0, 5)}
+        prices = (0, 1, 3)
+        given = mixing.route(patterns, quotas, 2, prices)
+
+        def cost(used):
+            return sum(sum(prices[k // patterns[p]] for k in range(n)) for p, n in used.items() if patterns[p])
+
+        best = None
+        for xa, xb, ya, yb in itertools.product(range(7), repeat=4):
+            used = {("a",): xa, ("b",): xb, ("a", "b"): ya + yb}
+            if any(n > 2 * patterns[p] for p, n in used.items()) or xa + ya > quotas["a"] or xb + yb > quotas["b"]:
+                continue
+            key = (-(xa + ya + xb + yb), cost(used))
+            best = key if best is None else min(best, key)
+        used = {p: sum(g.values()) for p, g in given.items()}
+        assert (-sum(used.values()), cost(used)) == best
+
+
+def test_overlapping_sources(spark):
+    rows = [(i, 10, ["a", "b"] if i % 2 else ["a"]) for i in range(100)] + [(200, 10, None), (201, 0, ["b"])]
+    docs = spark.createDataFrame(rows, "doc_id long, n long, sources array<string>")
+    out, given, sizes, _ = mixing.mix(docs, F.col("sources"), F.col("n"), lambda s: {"a": 500, "b": 400}, ["doc_id"], ["doc_id"])
+    taken = {r["doc_id"]: r["taken"] for r in out.collect()}
+    assert sizes == {"a": 1000, "b": 500} and len(taken) == 102 and taken[200] == 0 and taken[201] == 0
+    assert given[("a",)]["a"] + given[("a", "b")]["a"] == 500 and given[("a", "b")]["b"] == 400
+    assert max(taken.values()) == 10 and sum(taken.values()) == 900
+
+
+def test_repeated_rows_and_empty_table(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 40 + [(2, "x " * 30, "t")], "doc_id long, text string, source string")
+    out = mixing.mix_by_source(docs, ["doc_id"]).collect()
+    assert len(out) == 41 and abs(sum(r["taken"] for r in out if r["doc_id"] == 1) - 60) <= 2
+    empty = mixing.mix_by_source(docs.limit(0), ["doc_id"])
+    assert empty.count() == 0 and empty.columns == ["doc_id", "size", "source_size", "target", "taken"]

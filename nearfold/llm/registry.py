@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nearfold.llm import bpe, html_text, mixing, pii, rules, topk, urls
-from nearfold.llm.common import table
+from nearfold.llm import bpe, html_text, mixing, pii, quality, rules, topk, urls
+from nearfold.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,6 +48,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Learnt from the labels outside the fold that is held out."""
+    learn = crc_remainder("doc_id", 5) != 0
+    return quality.train(quality.sample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"), learn))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"), quality_model(spark, sf_dir), keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 @query
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.compression_rules(table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])

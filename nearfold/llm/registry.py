@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm import bpe, html_text, mixing, pii, quality, rules, topk, urls
+from nearfold.llm import bpe, html_text, langid, mixing, pii, quality, rules, topk, urls
 from nearfold.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,11 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    net = langid.train(langid.sample(docs, crc_remainder("doc_id", 3) != 1))
+    found = langid.identify(docs.select("doc_id", "text"), net, keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -1,0 +1,87 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from nearfold.llm import langid as L
+from nearfold.llm.common import crc_remainder
+
+
+def test_backpropagation_through_time_equals_differences():
+    rng = np.random.default_rng(0)
+    net = L.Network.fresh(["a", "b", "c"], 3, rng, np.float64)
+    words = [b"abc", b"\xc3\xa9", b"bbbbba", b"z"]
+    args = (*L.padded(words)[:3], np.array([0, 2, 1, 1]), np.array([len(w) for w in words]))
+    _, grads = net.gradients(*args)
+    for name, value in net.params.items():
+        flat, g = value.reshape(-1), grads[name].reshape(-1)
+        for i in rng.choice(len(flat), min(60, len(flat)), replace=False).tolist() + [int(np.abs(g).argmax())]:
+            old = flat[i]
+            flat[i] = old + 1e-5
+            up = net.gradients(*args)[0]
+            flat[i] = old - 1e-5
+            down = net.gradients(*args)[0]
+            flat[i] = old
+            assert (up - down) / 2e-5 == pytest.approx(g[i], abs=1e-7)
+
+
+def rows(n=240, seed=1):
+    rng = random.Random(seed)
+    parts = {"aa": ["the", "ing", "er", "on", "wh"], "bb": ["sch", "ung", "ü", "keit", "ein"], "cc": ["eau", "é", "que", "oi", "ment"]}
+    out = []
+    for i in range(n):
+        lang = rng.choice(sorted(parts))
+        out.append((i, " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(3, 40))), lang if rng.random() < 0.9 else None))
+    return out
+
+
+@pytest.fixture(scope="module")
+def net():
+    return L.train([(lang, t) for _, t, lang in rows() if lang], steps=120)
+
+
+def test_pooling_is_the_mean_over_all_positions(net):
+    reader = L.Reader(net)
+    text = "The eauQUE, überschung " + "x" * 60 + "é ing ing"
+    lang, score = reader.judge([text])
+    probs = []
+    for w in L.runs(text):
+        raw = w.encode()
+        for a in range(0, len(raw), L.WINDOW):
+            x, back, turn, _ = L.padded([raw[a : a + L.WINDOW]])
+            probs.append(net.forward(x, back, turn)[0][0])
+    mean = np.concatenate(probs).mean(axis=0)
+    assert lang == [net.languages[int(mean.argmax())]] and score[0] == pytest.approx(mean.max(), abs=1e-6)
+    assert reader.judge([text, None, text])[1][2] == pytest.approx(score[0], abs=1e-12)
+
+
+def test_memory_is_bounded(net, monkeypatch):
+    monkeypatch.setattr(L, "MEMO", 3)
+    texts = [t for _, t, _ in rows(30, 5)]
+    small, large = L.Reader(net), L.Reader(net)
+    got = [small.judge([t]) for t in texts]
+    monkeypatch.undo()
+    want = large.judge(texts)
+    assert [g[0][0] for g in got] == want[0] and np.allclose([g[1][0] for g in got], want[1])
+
+
+def test_table(spark):
+    data = rows()
+    docs = spark.createDataFrame([(i, t, lang, 1) for i, t, lang in data] + [(900, None, "aa", 1), (901, "", None, 1), (902, " 12 ?!_", "bb", 1), (None, "the ing", "aa", 1)], "doc_id long, text string, lang string, LANG_PRED int")
+    learn = crc_remainder("doc_id", 3) != 1
+    got = L.sample(docs, learn)
+    assert got == L.sample(docs.repartition(5), learn) and {a for a, _ in got} == {"aa", "bb", "cc"}
+    assert len(L.sample(docs, F.lit(True), each=5)) < 60
+    out = {r["doc_id"]: r for r in L.identify(docs, L.train(got, steps=150)).collect()}
+    assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 for i in (900, 901, 902))
+    assert np.mean([out[i]["lang_pred"] == lang for i, _, lang in data if lang]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in out.values()) and "LANG_PRED" not in docs.sparkSession.createDataFrame([], "a int").columns
+
+
+def test_nothing_to_learn(spark):
+    docs = spark.createDataFrame([(1, "a", None)], "doc_id long, text string, lang string")
+    assert L.sample(docs, F.lit(True)) == []
+    assert [tuple(r)[-2:] for r in L.identify(docs, L.train([])).collect()] == [("und", 0.0)]
+    assert [tuple(r)[-2:] for r in L.identify(docs, L.train([("xx", "abc")])).collect()] == [("xx", 1.0)]
+    assert L.identify(docs.limit(0), L.train([])).count() == 0

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfold.llm import shingles as S
 from nearfold.llm.common import slices, small_batches, stored
@@ -284,7 +285,8 @@ def classes_linked(sets: DataFrame, num: int, den: int, pivot_rounds: int = 2) -
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, size: int = 5, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links of Jaccard
-    similarity of at least num/den, the row's own included) and class (equal sets)."""
+    similarity of at least num/den, the row's own included), class (of equal sets) and
+    component, which names the group even where it has no id; null for empty rows."""
     if not 0 < num <= den:
         raise ValueError("the threshold must lie in (0, 1]")
     spark = docs.sparkSession
@@ -318,7 +320,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = every.where("n > 0").groupBy("class").agg(F.min("id").alias("first"))
     firsts = firsts.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = firsts.join(least, "component").select("class", "component_id")
+    named = firsts.join(least, "component").select("class", "component", "component_id")
     # The largest classes are hot keys of this join; the adaptive skew join splits them.
     out = every.join(named, "class", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "class")
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "class", F.when(F.col("n") > 0, F.col("component")).alias("component"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, size: int = 5) -> DataFrame:
+    """docs without all but one row of every component: the one of the smallest id (of a
+    null id, if none has one; among equals, of the least class). Empty rows all stay."""
+    found = stored(near_duplicates(docs, id_col, text_col, num, den, size), "found")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "class"))
+    kept = found.where("n_shingles > 0").groupBy("component").agg(first.alias("f")).select("component", F.col("f.id").alias("kept_id"), F.col("f.class").alias("kept_class"))
+    judged = found.join(kept, "component", "left").withColumn("stays", (F.col("n_shingles") == 0) | (F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("class") == F.col("kept_class"))))
+    by_id = stored(judged.groupBy("id").agg(F.count("*").alias("rows"), F.max("stays").alias("stays")), "by_id")
+
+    # Ids of one row go or stay by id alone; the rows of other ids are told apart by text.
+    gone = by_id.where("id is not null and rows = 1 and not stays").select(F.col("id").alias("_gone"))
+    unclear = by_id.where("id is not null and rows > 1").select(F.col("id").alias("_gone"))
+    out = gone.unionByName(unclear)
+    few = out.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    clear = docs.where(docs[id_col].isNotNull()).join(F.broadcast(out) if few else out, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    if by_id.where("id is null or rows > 1").isEmpty():
+        return clear
+    rest = docs.where(docs[id_col].isNull()).unionByName(docs.join(unclear, F.col(id_col).cast("long") == F.col("_gone"), "left_semi"))
+    named = with_class(rest, text_col, size).join(kept.drop("component"), F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("_class") == F.col("kept_class")), "left")
+    firsts = named.where("_n > 0 and kept_class is not null").dropDuplicates(["kept_class"])
+    return clear.unionByName(named.where("_n = 0").unionByName(firsts).select(*docs.columns))
+
+
+def with_class(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """docs with _class and _n, the digest and the size of each text's set."""
+    small_batches(docs.sparkSession)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col, rows=256, chars=1 << 20):
+            sets = S.shingle_sets(b.column(text_col), size)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([S.digest(s).hex() for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64())], names=[*columns, "_class", "_n"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_class", T.StringType()), T.StructField("_n", T.LongType())]))

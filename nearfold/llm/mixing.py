@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import WORD, fresh, stored
+from nearfold.llm.common import WORD, stored
 
 
 def word_count(text: str | Column) -> Column:
@@ -131,16 +131,16 @@ def seeded_hash(seed: int, columns: Sequence[str]) -> Column:
 
 
 def mix(docs: DataFrame, sources: Column, size: Column, quotas, key_cols: Sequence[str], keep: Sequence[str], max_repeats: int = 3, seed: int = 17, max_patterns: int = 100_000) -> tuple[DataFrame, dict[tuple, dict], dict, dict]:
-    """The columns `keep` with size, pattern and taken, the words taken from the row, a
-    multiple of its size; the words that each pattern gives to each source; the sources'
+    """row (a struct of the columns `keep`), size, pattern and taken, the words taken from
+    the row, a multiple of its size; the words that each pattern gives to each source; the sources'
     sizes; their quotas.
 
     sources: array of the row's sources. quotas: a function of {source: size} that gives
     {source: words wanted}. key_cols: columns whose seeded hash orders the rows.
     """
-    taken_names = [*keep]
-    n, pat, order = fresh("size", taken_names), fresh("pattern", taken_names), fresh("order", taken_names)
-    rows = docs.select(*keep, size.cast("long").alias(n), F.array_sort(F.array_distinct(sources)).alias(pat), seeded_hash(seed, key_cols).alias(order))
+    # Kept columns travel as one, so that none can clash with a working column.
+    n, pat, order = "size", "pattern", "order"
+    rows = docs.select(F.struct(*keep).alias("row"), size.cast("long").alias(n), F.array_sort(F.array_distinct(sources)).alias(pat), seeded_hash(seed, key_cols).alias(order))
     rows = stored(rows, "mix")
     by_pattern = rows.groupBy(pat).agg(F.sum(n).alias("words")).limit(max_patterns + 1).collect()
     if len(by_pattern) > max_patterns:
@@ -191,11 +191,11 @@ def mix(docs: DataFrame, sources: Column, size: Column, quotas, key_cols: Sequen
     upto = F.sum(n).over(Window.partitionBy(pat).orderBy(order, n).rowsBetween(Window.unboundedPreceding, -1))
     # The document in which the rest ends is taken if at least half of it is wanted.
     last = last.withColumn("_in", F.coalesce(upto, F.lit(0)) + F.col(n) / 2 <= F.col("rest"))
-    columns = [*keep, n, pat, "passes"]
+    columns = ["row", n, pat, "passes"]
     out = one.where("_s <> 0").select(*columns, (F.col("_s") < 0).alias("_in"))
     out = out.unionByName(two.where("_t <> 0").select(*columns, (F.col("_t") < 0).alias("_in"))).unionByName(last.select(*columns, "_in"))
     taken = F.col(n) * (F.coalesce(F.col("passes"), F.lit(0)) + F.col("_in").cast("long"))
-    return out.select(*keep, F.col(n).alias("size"), F.col(pat).alias("pattern"), taken.alias("taken")), given, sizes, wanted
+    return out.select("row", n, pat, taken.alias("taken")), given, sizes, wanted
 
 
 def mix_by_source(docs: DataFrame, keep: Sequence[str], text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), max_repeats: int = 3, seed: int = 17) -> DataFrame:
@@ -214,4 +214,4 @@ def mix_by_source(docs: DataFrame, keep: Sequence[str], text_col: str = "text",
     mixed, _, totals, wanted = mix(docs, F.array(F.col(source_col).cast("string")), word_count(text_col), quotas, id_cols, keep, max_repeats, seed)
     named = docs.sparkSession.createDataFrame([(x, int(totals[x]), float(w)) for x, w in wanted.items()], "_x string, source_size long, target double")
     out = mixed.withColumn("_x0", F.element_at("pattern", 1)).join(F.broadcast(named), F.col("_x0").eqNullSafe(F.col("_x")), "left")
-    return out.select(*keep, "size", "source_size", "target", "taken")
+    return out.select("row.*", "size", "source_size", "target", "taken")

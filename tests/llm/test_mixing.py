@@ -88,7 +88,7 @@ def test_overlapping_sources(spark):
     rows = [(i, 10, ["a", "b"] if i % 2 else ["a"]) for i in range(100)] + [(200, 10, None), (201, 0, ["b"])]
     docs = spark.createDataFrame(rows, "doc_id long, n long, sources array<string>")
     out, given, sizes, _ = mixing.mix(docs, F.col("sources"), F.col("n"), lambda s: {"a": 500, "b": 400}, ["doc_id"], ["doc_id"])
-    taken = {r["doc_id"]: r["taken"] for r in out.collect()}
+    taken = {r["row"]["doc_id"]: r["taken"] for r in out.collect()}
     assert sizes == {"a": 1000, "b": 500} and len(taken) == 102 and taken[200] == 0 and taken[201] == 0
     assert given[("a",)]["a"] + given[("a", "b")]["a"] == 500 and given[("a", "b")]["b"] == 400
     assert max(taken.values()) == 10 and sum(taken.values()) == 900
@@ -98,5 +98,8 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c", "s")] * 40 + [(2, "x " * 30, "t")], "doc_id long, text string, source string")
     out = mixing.mix_by_source(docs, ["doc_id"]).collect()
     assert len(out) == 41 and abs(sum(r["taken"] for r in out if r["doc_id"] == 1) - 60) <= 2
+    clash = docs.selectExpr("doc_id", "text", "source", "1 AS row", "2 AS rest", "3 AS passes", "4 AS _in", "5 AS _a")
+    assert mixing.mix_by_source(clash, clash.columns).columns[:8] == clash.columns
+    assert mixing.mix_by_source(clash, clash.columns).count() == 41
     empty = mixing.mix_by_source(docs.limit(0), ["doc_id"])
     assert empty.count() == 0 and empty.columns == ["doc_id", "size", "source_size", "target", "taken"]

@@ -1,7 +1,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from nearfold.llm import urls
 
@@ -83,4 +82,8 @@ def test_broadcast_limit_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(urls, "BROADCAST_HOSTS", 0)
     assert sorted(urls.url_filter(pages, RULES).collect()) == small and {r["verdict"] for r in small} == {"block"}
     assert urls.url_filter(pages.limit(0), RULES).count() == 0
-    assert not any(x in pages.select(F.lit(1))._jdf.queryExecution().toString() for x in ("Python", "Arrow"))
+
+
+def test_native(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert not any(x in urls.url_filter(pages, RULES)._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow"))

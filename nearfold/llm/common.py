@@ -2,51 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfold.tables import forget, shared_folder, stored
+
+__all__ = ["WORD", "crc_remainder", "forget", "fresh", "give_back", "shared_folder", "slices", "small_batches", "stored", "table"]
+
 #: ASCII white space; every other code point belongs to a word. As regex class members.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Only used where the session names no shared folder (tests, local mode).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return frame.select(*columns) if columns else frame
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-
-
-def stored(frame: DataFrame, label: str) -> DataFrame:
-    """The frame written as Parquet to the shared folder and read again: lineage ends
-    here, and a lost executor costs no more than the stage that was running."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/nearfold-{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
-_written: dict[str, list[str]] = {}
-
-
-def forget(spark: SparkSession) -> None:
-    """Delete what stored() wrote in this application; frames read from it end to work."""
-    jvm = spark.sparkContext._jvm
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
@@ -71,6 +45,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 512, char
             stop = max(stop, at + 1)
             yield batch.slice(at, stop - at)
             at = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker keeps what its last partition
+    took at most, and several of them share an executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def fresh(name: str, taken: list[str]) -> str:

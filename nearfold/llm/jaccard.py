@@ -12,10 +12,11 @@ join runs between classes, in these steps.
 3. Classes that share a prefix gram are candidates, under the length filter, the
    positional filter and, on what follows the shared gram, the suffix filter. Candidates
    are verified once by their whole sets.
-4. Long posting lists hold families of near copies. First every member of a list meets the
-   list's pivot only; linked classes are merged; then all pairs of a list that are still
-   apart and have not met are candidates. So a family costs no pair of its members, and no
-   link between different components is missed: the components are exact.
+4. Long posting lists hold families of near copies. First the members of a list meet a
+   few pivots of the list only, and linked classes are merged, some rounds long; then all
+   pairs of a list that are still apart and have not met are candidates. So a family does
+   not cost the pairs of its members, and no link between different components is missed:
+   the components are exact.
 
 Empty documents (null, no words) have no shingles and link with nothing. Null ids take
 part and get the smallest id they reach, null if none has one. Repeated rows are one class.
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfold.llm import shingles as S
-from nearfold.llm.common import slices, small_batches, stored
+from nearfold.llm.common import fresh, slices, small_batches, stored
+from nearfold.operators.components import components
 
 #: Grams that a bucket counts, on average.
 BUCKET_GRAMS = 800_000
@@ -129,7 +131,7 @@ def shared_counts(docs: DataFrame, buckets: int, size: int) -> DataFrame:
 
 
 def ordered_sets(docs: DataFrame, buckets: int, size: int, num: int, den: int) -> DataFrame:
-    """class, n, lone (grams that no other class has) and grams, the whole set in global
+    """class, n, lone (grams that no other class has) and grams, the others in global
     order, of classes with a shared prefix. A gram is its frequency class in the high byte
     (rarer is less) and 56 bits of its hash, so that the order is that of the numbers."""
 
@@ -165,7 +167,7 @@ def ordered_sets(docs: DataFrame, buckets: int, size: int, num: int, den: int) -
             grams = np.sort(np.concatenate([*parts[i], np.zeros(0, np.uint64)])).astype(np.int64)
             n, lone = len(grams), int(np.searchsorted(grams, 1 << 56))
             if n and lone < n - needed(n, num, den) + 1:
-                out.append({"class": names[16 * i : 16 * i + 16].hex(), "n": n, "lone": lone, "grams": grams})
+                out.append({"class": names[16 * i : 16 * i + 16].hex(), "n": n, "lone": lone, "grams": grams[lone:]})
         return pa.Table.from_pylist(out, schema=pa.schema([("class", pa.string()), ("n", pa.int64()), ("lone", pa.int64()), ("grams", pa.list_(pa.int64()))]))
 
     packs = docs.mapInArrow(pack, PACK)
@@ -185,9 +187,8 @@ def overlap_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     return overlap_bound(x[:i], y[:mid], depth - 1) + hit + overlap_bound(x[i + hit :], y[mid + 1 :], depth - 1)
 
 
-def verified(x: np.ndarray, y: np.ndarray, at_x: int, at_y: int, num: int, den: int) -> bool:
-    """Whether the sets link. at_x, at_y: where they share a gram."""
-    least = -(-num * (len(x) + len(y)) // (num + den))
+def verified(x: np.ndarray, y: np.ndarray, at_x: int, at_y: int, least: int) -> bool:
+    """Whether the ordered sets share `least` grams. at_x, at_y: where they share one."""
     if overlap_bound(x[:at_x], y[:at_y], 1) + 1 + overlap_bound(x[at_x + 1 :], y[at_y + 1 :]) < least:
         return False
     both = np.searchsorted(x, y)
@@ -196,90 +197,72 @@ def verified(x: np.ndarray, y: np.ndarray, at_x: int, at_y: int, num: int, den:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, linked for each pair (a, b, at_a, at_b)."""
-    of = sets.select(F.col("class"), "grams")
-    a = of.withColumnsRenamed({"class": "a", "grams": "grams_a"})
-    b = of.withColumnsRenamed({"class": "b", "grams": "grams_b"})
+    """a, b, linked for each pair (a, b, at_a, at_b: places in the whole ordered sets)."""
+    of = sets.select("node", "n", "lone", "grams")
+    a, b = (of.withColumnsRenamed({"node": x, **{c: f"{c}_{x}" for c in ("n", "lone", "grams")}}) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ga, gb = batch.column("grams_a"), batch.column("grams_b")
             fa, fb = ga.flatten().to_numpy(), gb.flatten().to_numpy()
             oa, ob = ga.offsets.to_numpy() - ga.offsets[0].as_py(), gb.offsets.to_numpy() - gb.offsets[0].as_py()
-            at_a, at_b = batch.column("at_a").to_numpy(), batch.column("at_b").to_numpy()
-            linked = [verified(fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]], at_a[i], at_b[i], num, den) for i in range(batch.num_rows)]
+            at_a, at_b, least = (batch.column(c).to_numpy() for c in ("at_a", "at_b", "least"))
+            linked = [verified(fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]], at_a[i], at_b[i], least[i]) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "at_a", "at_b", "grams_a", "grams_b").mapInArrow(run, "a string, b string, linked boolean")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node that edges (a, b) reach) of all nodes with an edge.
-    Every round hooks each root to its least neighbour, flattens the trees by pointer
-    jumping and contracts them; rounds grow with the logarithm of a component's size."""
-    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "hooks")
-        while True:
-            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = stored(hooks.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "hooks")
-            hooks = jumped.drop("moved")
-            if jumped.where("moved").isEmpty():
-                break
-        up = hooks.select(F.col("node").alias("component"), "root")
-        if labels is None:
-            labels = hooks.select("node", F.col("root").alias("component"))
-        else:
-            labels = stored(labels.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
-        ends = {x: hooks.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"}
-        edges = stored(edges.join(ends["a"], "a").join(ends["b"], "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")) if labels is None else labels
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den)).alias("least")
+    met = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("at_a") - F.col("lone_a")).alias("at_a"), (F.col("at_b") - F.col("lone_b")).alias("at_b"), least, "grams_a", "grams_b")
+    return met.mapInArrow(run, "a long, b long, linked boolean")
 
 
 def filters(num: int, den: int) -> Column:
-    """Length and positional filter over members (n, pos) and (n2, pos2) of one list."""
+    """Length and positional filter over members (n, pos) and (n2, pos2) of the list of
+    their first common gram. At a later gram it may refuse a link, which the list of the
+    first one lets through."""
     lengths = (F.least("n", "n2") * den) >= (F.greatest("n", "n2") * num)
     least = F.ceil((F.col("n") + F.col("n2")) * num / (num + den))
-    return lengths & (F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= least)
-
+    return lengths & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= least)
 
-def classes_linked(sets: DataFrame, num: int, den: int, pivot_rounds: int = 2) -> DataFrame:
-    """node, component of the classes that link with another one."""
-    prefix = F.slice("grams", F.col("lone").cast("int") + 1, (F.col("n") - F.ceil(F.col("n") * num / den) + 1 - F.col("lone")).cast("int"))
-    entries = stored(sets.select("class", "n", "lone", F.posexplode(prefix).alias("i", "gram")).select("gram", "class", "n", (F.col("lone") + F.col("i")).alias("pos")), "prefixes")
-    done = None
-    labels = None
 
-    def with_labels() -> DataFrame:
-        if labels is None:
-            return entries.withColumn("component", F.col("class"))
-        named = labels.withColumnRenamed("node", "class")
-        return entries.join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
+def classes_linked(sets: DataFrame, num: int, den: int, rounds: tuple[int, ...] = (2, 8, 16, 32, 64)) -> DataFrame:
+    """node, component (the least node linked with it) of all nodes in `sets` (node, n,
+    lone, grams). rounds: expected pivots of a posting list in each round before all pairs
+    that are left meet."""
+    prefix = F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") * num / den) + 1 - F.col("lone")).cast("int"))
+    entries = sets.select("node", "n", "lone", F.posexplode(prefix).alias("i", "gram")).select("gram", "node", "n", (F.col("lone") + F.col("i")).alias("pos"))
+    entries = stored(entries, "prefixes")
+    labels = sets.select("node", F.col("node").alias("component"))
+    refused = None
 
     def met(pairs: DataFrame) -> DataFrame:
         """Each new pair once, at the first gram at which it was found."""
-        ordered = pairs.select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b"), "gram", F.when(F.col("class") < F.col("class2"), F.col("pos")).otherwise(F.col("pos2")).alias("at_a"), F.when(F.col("class") < F.col("class2"), F.col("pos2")).otherwise(F.col("pos")).alias("at_b"))
-        once = ordered.groupBy("a", "b").agg(F.min(F.struct("gram", "at_a", "at_b")).alias("m")).select("a", "b", "m.at_a", "m.at_b")
-        return once if done is None else once.join(done.select("a", "b"), ["a", "b"], "left_anti")
-
-    for turn in range(pivot_rounds + 1):
-        now = with_labels()
-        if turn < pivot_rounds:
-            # Another member of the list in each round: the least by a seeded hash.
-            by = F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "class", "n", "pos", "component")
-            pivots = now.groupBy("gram").agg(F.min(by).alias("p")).select("gram", F.col("p.class").alias("class2"), F.col("p.n").alias("n2"), F.col("p.pos").alias("pos2"), F.col("p.component").alias("component2"))
-            pairs = now.join(pivots, "gram").where("component <> component2")
+        first = F.col("node") < F.col("node2")
+        ordered = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), "gram", F.when(first, F.col("pos")).otherwise(F.col("pos2")).alias("at_a"), F.when(first, F.col("pos2")).otherwise(F.col("pos")).alias("at_b"))
+        # The first place of a set is that of the least gram.
+        once = ordered.groupBy("a", "b").agg(F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
+        return once if refused is None else once.join(refused, ["a", "b"], "left_anti")
+
+    for turn, pivots in enumerate([*rounds, 0]):
+        now = entries.join(labels, "node")
+        # Lists of one component are done, and stay so.
+        lists = now.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")).where("least <> most").select("gram", "members")
+        open_ = stored(now.join(lists, "gram"), "open")
+        entries = open_.select("gram", "node", "n", "pos")
+        others = open_.select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"), "members")
+        if pivots:
+            # Others in each round, by a seeded hash; all members of short lists.
+            chance = F.pmod(F.xxhash64("node2", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
+            pairs = open_.drop("members").join(others.where(chance * F.col("members") < pivots).drop("members"), "gram").where("component <> component2")
         else:
-            # Lists whose members are all in one component are done.
-            open_ = now.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("gram")
-            left = now.join(open_, "gram", "left_semi")
-            right = left.select("gram", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-            pairs = left.join(right, "gram").where("component < component2")
+            pairs = open_.join(others.drop("members"), "gram").where("component < component2")
         found = stored(verify(met(pairs.where(filters(num, den))), sets, num, den), "verified")
-        done = found if done is None else stored(done.unionByName(found), "verified")
-        labels = stored(components(done.where("linked").select("a", "b")), "components")
+        # Linked pairs are in one component from now on and do not meet again.
+        no = found.where("not linked").select("a", "b")
+        refused = no if refused is None else refused.unionByName(no)
+        one, two = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        links = found.where("linked").join(one, "a").join(two, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        up = components(links).select(F.col("node").alias("component"), F.col("component").alias("root"))
+        labels = stored(labels.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
     return labels
 
 
@@ -315,10 +298,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = ordered_sets(single, buckets, size, num, den).dropDuplicates(["class"])
     else:
         sets = ordered_sets(single, buckets, size, num, den)
-    labels = classes_linked(stored(sets, "sets"), num, den)
+    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    linked = classes_linked(sets, num, den).join(sets.select("node", "class"), "node").select("class", F.col("component").cast("string").alias("component"))
 
     firsts = every.where("n > 0").groupBy("class").agg(F.min("id").alias("first"))
-    firsts = firsts.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    firsts = firsts.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
     named = firsts.join(least, "component").select("class", "component", "component_id")
     # The largest classes are hot keys of this join; the adaptive skew join splits them.
@@ -336,27 +320,31 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_id = stored(judged.groupBy("id").agg(F.count("*").alias("rows"), F.max("stays").alias("stays")), "by_id")
 
     # Ids of one row go or stay by id alone; the rows of other ids are told apart by text.
-    gone = by_id.where("id is not null and rows = 1 and not stays").select(F.col("id").alias("_gone"))
-    unclear = by_id.where("id is not null and rows > 1").select(F.col("id").alias("_gone"))
-    out = gone.unionByName(unclear)
+    gone, mark, amount = (fresh(x, docs.columns) for x in ("_gone", "_class", "_n"))
+    this = F.col(id_col).cast("long")
+    out = by_id.where("id is not null and rows = 1 and not stays").select(F.col("id").alias(gone))
+    unclear = by_id.where("id is not null and rows > 1").select(F.col("id").alias(gone))
+    out = out.unionByName(unclear)
     few = out.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    clear = docs.where(docs[id_col].isNotNull()).join(F.broadcast(out) if few else out, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    clear = docs.where(docs[id_col].isNotNull()).join(F.broadcast(out) if few else out, this == F.col(gone), "left_anti")
     if by_id.where("id is null or rows > 1").isEmpty():
         return clear
-    rest = docs.where(docs[id_col].isNull()).unionByName(docs.join(unclear, F.col(id_col).cast("long") == F.col("_gone"), "left_semi"))
-    named = with_class(rest, text_col, size).join(kept.drop("component"), F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("_class") == F.col("kept_class")), "left")
-    firsts = named.where("_n > 0 and kept_class is not null").dropDuplicates(["kept_class"])
-    return clear.unionByName(named.where("_n = 0").unionByName(firsts).select(*docs.columns))
+    rest = docs.where(docs[id_col].isNull()).unionByName(docs.join(unclear, this == F.col(gone), "left_semi"))
+    first_id, first_class = fresh("_kept_id", docs.columns), fresh("_kept_class", docs.columns)
+    kept = kept.select(F.col("kept_id").alias(first_id), F.col("kept_class").alias(first_class))
+    named = with_class(rest, text_col, size, mark, amount).join(kept, this.eqNullSafe(F.col(first_id)) & (F.col(mark) == F.col(first_class)), "left")
+    firsts = named.where((F.col(amount) > 0) & F.col(first_class).isNotNull()).dropDuplicates([first_class])
+    return clear.unionByName(named.where(F.col(amount) == 0).unionByName(firsts).select(*docs.columns))
 
 
-def with_class(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """docs with _class and _n, the digest and the size of each text's set."""
+def with_class(docs: DataFrame, text_col: str, size: int, mark: str, amount: str) -> DataFrame:
+    """docs with mark and amount, the digest and the size of each text's set."""
     small_batches(docs.sparkSession)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col, rows=256, chars=1 << 20):
             sets = S.shingle_sets(b.column(text_col), size)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([S.digest(s).hex() for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64())], names=[*columns, "_class", "_n"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([S.digest(s).hex() for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64())], names=[*columns, mark, amount])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("_class", T.StringType()), T.StructField("_n", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(mark, T.StringType()), T.StructField(amount, T.LongType())]))

@@ -59,7 +59,8 @@ def test_bounds_never_cut_a_link():
         assert J.overlap_bound(x, y) >= len(both)
         g = rng.choice(list(both))
         link = 100 * len(both) >= 80 * (len(x) + len(y) - len(both))
-        assert J.verified(x, y, int(np.searchsorted(x, g)), int(np.searchsorted(y, g)), 80, 100) == link
+        least = -(-80 * (len(x) + len(y)) // 180)
+        assert J.verified(x, y, int(np.searchsorted(x, g)), int(np.searchsorted(y, g)), least) == link
 
 
 def corpus(seed):
@@ -112,6 +113,16 @@ def test_empty_table_and_thresholds(spark):
         J.near_duplicates(docs, num=0)
 
 
+def test_rounds_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(7), "doc_id long, text string")
+    whole = J.classes_linked
+    seen = []
+    for rounds in ((), (1,), (2, 3)):
+        monkeypatch.setattr(J, "classes_linked", lambda *a, r=rounds: whole(*a, rounds=r))
+        seen.append(sorted((r["id"], r["component_id"]) for r in J.near_duplicates(docs).collect()))
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("x", "y"), ("y", "x"), ("z", "z")], "a string, b string")
     assert {r["node"]: r["component"] for r in J.components(edges).collect()} == {f"{i:03d}": "000" for i in range(61)} | {"x": "x", "y": "x"}

@@ -15,7 +15,7 @@ kept; an output column replaces an input column of the same name.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfold.llm.common import fresh, slices, small_batches
+from nearfold.llm.common import fresh, give_back, slices, small_batches
 
 #: A match is settled once this many characters after its start are known (the longest
 #: contraction of the pattern has three).
@@ -105,13 +105,15 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", keep: list[str] | None = None, chunk_chars: int = 32_768, overlap: int = 512) -> DataFrame:
-    """docs (or the columns `keep` of it) with the ids of every text, array<int>."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", keep: list[str] | None = None, chunk_chars: int = 32_768, overlap: int = 512, decoded_col: str | None = None) -> DataFrame:
+    """docs (or the columns `keep` of it) with the ids of every text, array<int>, and, if
+    decoded_col is given, the bytes that the ids decode to."""
     if not 0 < overlap < chunk_chars:
         raise ValueError("overlap must lie between 0 and chunk_chars")
     spark = docs.sparkSession
     small_batches(spark)
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != out_col.lower()]
+    added = [out_col, decoded_col] if decoded_col else [out_col]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in [x.lower() for x in added]]
     text = fresh("body", keep)
     frame = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(text))
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
@@ -120,13 +122,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value, pattern)
         for b in slices(batches, text):
-            ids = lists([enc.ids(x) if x else np.zeros(0, np.int32) for x in b.column(text).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], names=[*keep, out_col])
+            ids = [enc.ids(x) if x else np.zeros(0, np.int32) for x in b.column(text).to_pylist()]
+            raw = [pa.array([joined_bytes(enc.bytes_of, x.tolist()) for x in ids], pa.binary())] if decoded_col else []
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists(ids), *raw], names=[*keep, *added])
 
-    schema = T.StructType([*(frame.schema[c] for c in keep), T.StructField(out_col, ids_type)])
+    schema = T.StructType([*(frame.schema[c] for c in keep), T.StructField(out_col, ids_type), *([T.StructField(decoded_col, T.BinaryType())] if decoded_col else [])])
     is_long = F.coalesce(F.length(text) > chunk_chars, F.lit(False))
     short = frame.where(~is_long).mapInArrow(whole, schema)
-    long = frame.where(is_long).withColumn("_key", F.sha2(F.col(text).cast("binary"), 256))
+    name = fresh("_key", [*keep, text, *added])
+    long = frame.where(is_long).withColumn(name, F.sha2(F.col(text).cast("binary"), 256))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,7 +141,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                     yield pa.RecordBatch.from_pylist([{"_key": key, "k": k, "at": at, "last": k == n - 1, "chunk": whole_text[at : at + chunk_chars + overlap]}], schema=pa.schema([("_key", pa.string()), ("k", pa.int32()), ("at", pa.int64()), ("last", pa.bool_()), ("chunk", pa.string())]))
 
     chunk_schema = "_key string, k int, at long, last boolean, chunk string"
-    chunks = long.select("_key", text).dropDuplicates(["_key"]).mapInArrow(cut, chunk_schema).repartition("_key", "k")
+    chunks = long.select(F.col(name).alias("_key"), text).dropDuplicates(["_key"]).mapInArrow(cut, chunk_schema).repartition("_key", "k")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pat = encoder(ranks.value, pattern).pattern
@@ -170,7 +174,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
     encoded = spans.mapInArrow(piece, T.StructType([T.StructField("_key", T.StringType()), T.StructField("span", T.IntegerType()), T.StructField("ids", ids_type)]))
     joined = encoded.groupBy("_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("span", "ids"))), lambda x: x["ids"])).alias(out_col))
-    return short.unionByName(long.drop(text).join(joined, "_key").drop("_key"))
+    if decoded_col:
+        joined = decode(joined, ranks_path, out_col, decoded_col)
+    return short.unionByName(long.drop(text).join(joined.withColumnRenamed("_key", name), name).drop(name))
+
+
+def joined_bytes(table: dict[int, bytes], ids: Iterable[int]) -> bytes:
+    """Decoding: the raw bytes of the ids, one after the other."""
+    return b"".join(map(table.__getitem__, ids))
 
 
 def decode(frame: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -183,25 +194,24 @@ def decode(frame: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_co
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {int(b): base64.b64decode(a) for a, b in (x.split() for x in ranks.value.splitlines() if x)}
-        of = table.__getitem__
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
-                raw = [b"".join(map(of, x or ())) for x in b.column(ids).to_pylist()]
+                raw = [joined_bytes(table, x or ()) for x in b.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(raw, pa.binary())], names=[*keep, out_col])
+        give_back()
 
     source = frame.select(*[frame[c] for c in keep], frame[ids_col].alias(ids))
     return source.mapInArrow(join, T.StructType([*(source.schema[c] for c in keep), T.StructField(out_col, T.BinaryType())]))
 
 
 def ids_digest(ids: str | Column) -> Column:
-    """Lowercase hex of the decimal ids joined by one space."""
+    """Lowercase hex of the SHA-256 of the decimal ids joined by one space."""
     ids = F.col(ids) if isinstance(ids, str) else ids
     return F.sha2(F.concat_ws(" ", ids.cast("array<string>")).cast("binary"), 256)
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    coded = encode(docs.select("doc_id", "text"), ranks_path, pattern, keep=["doc_id"])
-    back = decode(coded, ranks_path)
+    back = encode(docs.select("doc_id", "text"), ranks_path, pattern, keep=["doc_id"], decoded_col="decoded")
     return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), ids_digest("token_ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -45,9 +45,10 @@ def test_round_trip_and_digests(spark, reference):
 
 
 def test_empty_table_and_clashing_columns(spark):
-    docs = spark.createDataFrame([(1, "a b", "x", 7)], "doc_id long, text string, Body string, token_ids int")
-    row = bpe.encode(docs, RANKS, P.PATTERN).collect()[0]
-    assert row["Body"] == "x" and len(row["token_ids"]) == 2
+    docs = spark.createDataFrame([(1, "a b", "x", 7, "k")], "doc_id long, text string, Body string, token_ids int, _KEY string")
+    for chunk in (100, 2):
+        row = bpe.encode(docs, RANKS, P.PATTERN, chunk_chars=chunk, overlap=1).collect()[0]
+        assert row["Body"] == "x" and row["_KEY"] == "k" and len(row["token_ids"]) == 2
     assert bpe.token_digests(docs.limit(0), RANKS, P.PATTERN).count() == 0
 
 

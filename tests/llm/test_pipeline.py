@@ -97,7 +97,8 @@ def test_run_returns_the_last_stage(spark, stages):
 def test_one_of_each_with_repeated_rows_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(4, text), (4, text), (4, "other words here and there"), (None, text), (None, "all alone"), (None, "all alone"), (2, text + " end"), (9, ""), (9, None)]
-    out = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    docs = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, _class string, _N int, _gone int")
+    out = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()), key=str)
     assert out == sorted([(2, text + " end"), (4, "other words here and there"), (None, "all alone"), (9, ""), (9, None)], key=str)
     assert jaccard.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert mixing and pii

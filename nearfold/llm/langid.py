@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfold.llm.common import fresh, slices, small_batches
+from nearfold.llm.common import fresh, give_back, slices, small_batches
 
 LETTERS = regex.compile(r"\p{L}+")
 WINDOW = 24
@@ -178,6 +178,8 @@ def train(rows: Sequence[tuple[str, str]], hidden: int = 16, steps: int = 400, b
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
             v -= (now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(v.dtype)
+    del words
+    give_back()
     return net
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfold.llm.common import fresh, slices, small_batches
+from nearfold.llm.common import fresh, give_back, slices, small_batches
 
 #: Fixed odd multipliers of the hashes.
 STEP, MIX, PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -114,7 +114,7 @@ def train(rows: Sequence[tuple[str | None, int]], bits: int = 20, epochs: int =
     for text, _ in rows:
         places, counts = grams(pa.array([text], pa.string()), bits)
         where, times = np.unique(places, return_counts=True)
-        vectors.append((np.append(where, 1 << bits), np.append(times / np.sqrt(max(1, counts[0])), 1.0)))
+        vectors.append((np.append(where, 1 << bits).astype(np.int32), np.append(times / np.sqrt(max(1, counts[0])), 1.0).astype(np.float32)))
 
     def weights(i) -> np.ndarray:
         return np.where(np.abs(z[i]) <= l1, 0.0, (np.sign(z[i]) * l1 - z[i]) / ((beta + np.sqrt(n[i])) / alpha + l2))
@@ -126,8 +126,11 @@ def train(rows: Sequence[tuple[str | None, int]], bits: int = 20, epochs: int =
             g = (p - y) * x
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
             n[i] += g * g
-    w = weights(np.arange(len(z)))
-    return Model(w[:-1].astype(np.float32), float(w[-1]), bits)
+    w = weights(slice(None))
+    model = Model(w[:-1].astype(np.float32), float(w[-1]), bits)
+    del vectors, z, n, w
+    give_back()  # the driver's memory is small, and training is done
+    return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", train_rows: int = 6000) -> list[tuple[str | None, int]]:
@@ -141,7 +144,8 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "
     chosen = known.where(F.pmod(order, F.lit(1_000_000)) < int(part * 1_000_000)).withColumn("_o", order)
     # Bounded by train_rows, so it is sent to the documents and not they to it.
     found = docs.select(F.col("doc_id"), F.col("text").alias("_text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y", "_o").agg(F.min("_text").alias("_text"))
-    return [(r["_text"], r["_y"]) for r in sorted(found.collect(), key=lambda r: (r["_o"], r["doc_id"]))]
+    # In the order of the hash, a part of the sample at a time on the driver.
+    return [(r["_text"], r["_y"]) for r in found.orderBy("_o", "doc_id").select("_text", "_y").toLocalIterator()]
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] | None = None, threshold: float = 0.3, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:

@@ -1,3 +1,4 @@
+import base64
 import random
 import re
 import string
@@ -67,3 +68,29 @@ def test_large_vocabulary_and_clashing_columns(spark):
     row = rules.compression_rules(docs).collect()[0]
     assert row["kept"] is False and row["body"] == "x"
     assert rules.compression_rules(docs.limit(0)).count() == 0
+
+
+def junk(kind, size, rng):
+    if kind == "letters":
+        return " ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9))) for _ in range(size))[:size]
+    if kind == "cjk":
+        return " ".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(5)) for _ in range(size // 16 + 1))[: size * 6 // 16 + 1]
+    raw = base64.b64encode(rng.randbytes(size)).decode() if kind == "base64" else rng.randbytes(size).hex()
+    return " ".join(raw[i : i + 8] for i in range(0, size, 8))[:size]
+
+
+def judged(spark, rows):
+    out = rules.compression_rules(spark.createDataFrame(list(rows.items()), "doc_id string, text string")).collect()
+    return {r["doc_id"]: r for r in out}
+
+
+def test_default_bands_reject_noise_and_keep_prose(spark):
+    rng = random.Random(4)
+    least = {"base64": 1024, "cjk": 1024, "letters": 3000, "hex": 5000}
+    rows = {f"{kind} {n}": junk(kind, n, rng) for kind in least for n in (1024, 3000, 5000, 20_000, 60_000) if n >= least[kind]}
+    out = judged(spark, rows)
+    assert not any(r["base_failed"] for r in out.values()) and not [i for i, r in out.items() if r["kept"]]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    known = rules.compression_rules(docs).collect()
+    high = [r for r in known if not r["base_failed"] and r["ratio"] > 0.3]
+    assert len(high) > 100 and sum(r["kept"] for r in high) / len(high) > 0.95

@@ -3,8 +3,10 @@
 A text is compressed with zstandard as a whole and in fixed chunks. The ratio (compressed
 by raw bytes) must lie inside the band that belongs to its length: below it the text
 repeats itself, above it the text has no structure. A text is rejected if its whole ratio
-is out of band, or if more than `bad_share` of its full chunks are out of the chunk band.
-Texts shorter than the first band are never rejected by compression.
+is out of band, or if more than `bad_share` of its chunks are out of the chunk band. The
+last chunk ends at the text's end, so every byte lies in a full chunk; a text without a
+full chunk is judged as a whole. Texts shorter than the first band are never rejected by
+compression.
 
 Base counts come with it: words (maximal runs without ASCII white space), their code
 points, symbols, lines that repeat an earlier line, words in repeated 3-word windows.
@@ -40,7 +42,7 @@ BANDS = (
 )
 
 #: The band of a full chunk, as in BANDS.
-CHUNK_BAND = (0.20, 0.51, 0.67)
+CHUNK_BAND = (0.24, 0.585, 0.70)
 
 #: First bytes of three-byte kana, Han and Hangul and of all four-byte characters.
 WIDE = bytes([*range(0xE3, 0xEE), *range(0xF0, 0xF5)])
@@ -128,7 +130,7 @@ def within(raw: bytes, ratio: float, band: Sequence[float]) -> bool:
     return band[0] <= ratio <= band[1] + wide * (band[-1] - band[1])
 
 
-def compression_rules(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, bands=BANDS, chunk_band=CHUNK_BAND, chunk_bytes: int = 16_384, bad_share: float = 0.25, level: int = 3) -> DataFrame:
+def compression_rules(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, bands=BANDS, chunk_band=CHUNK_BAND, chunk_bytes: int = 2048, bad_share: float = 0.1, level: int = 3) -> DataFrame:
     """docs (or the columns `keep` of it) with the columns of OUTPUT. ratio is null for
     texts without bytes."""
     small_batches(docs.sparkSession)
@@ -147,8 +149,9 @@ def compression_rules(docs: DataFrame, text_col: str = "text", keep: list[str] |
             for raw in texts.cast(pa.binary()).to_pylist():
                 ratio = len(compress(raw)) / len(raw) if raw else None
                 band = limits(len(raw), bands)
-                full = len(raw) // chunk_bytes
-                parts = (raw[i * chunk_bytes : (i + 1) * chunk_bytes] for i in range(full))
+                full = -(-len(raw) // chunk_bytes) if len(raw) >= chunk_bytes else 0
+                starts = (min(i * chunk_bytes, len(raw) - chunk_bytes) for i in range(full))
+                parts = (raw[a : a + chunk_bytes] for a in starts)
                 bad = sum(not within(x, len(compress(x)) / chunk_bytes, chunk_band) for x in parts)
                 ratios.append(ratio)
                 chunks.append(full)

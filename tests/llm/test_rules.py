@@ -94,3 +94,17 @@ def test_default_bands_reject_noise_and_keep_prose(spark):
     known = rules.compression_rules(docs).collect()
     high = [r for r in known if not r["base_failed"] and r["ratio"] > 0.3]
     assert len(high) > 100 and sum(r["kept"] for r in high) / len(high) > 0.95
+
+
+def test_passages_of_ordinary_documents_are_judged(spark):
+    rng = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) between 16000 and 60000").select("text").limit(200).collect()
+    prose = min((r["text"] for r in docs), key=lambda x: (brute(x)["n_repeat_words"] / len(x.split()), x))
+    line = "This is the one line of the page that is said again and again and again.\n"
+    rows = {"prose": prose[:14_000], "short": prose[:3000]}
+    rows |= {"loop at the end": prose[:16_000] + line * 160, "loop inside": prose[:3000] + line * 56 + prose[3000:6000]}
+    rows |= {"blob inside": prose[:3000] + junk("base64", 4200, rng) + prose[3000:6000], "blob at the end": prose[:9000] + junk("base64", 1800, rng)}
+    out = judged(spark, rows)
+    assert [i for i, r in out.items() if r["kept"]] == ["prose", "short"]
+    assert not any(out[i]["base_failed"] for i in rows)
+    assert out["short"]["n_chunks"] == 2 and out["short"]["n_bad_chunks"] == 0

@@ -1,11 +1,11 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
-Texts are lower-cased and read as maximal runs of letters; a run's UTF-8 bytes, in windows
-of WINDOW, are the network's sequences. One recurrent layer reads each forwards, one
-backwards, and every byte gets a distribution over the languages. A document's
-distribution is the mean over all its bytes, and the same run always gets the same one, so
-a worker computes runs once and remembers them. The network is trained here, in numpy, by
-backpropagation through time on a bounded sample of labelled documents.
+Texts are lower-cased and read as one sequence of UTF-8 bytes, spaces, digits, marks and
+punctuation included, in overlapping windows of WINDOW bytes. One recurrent layer reads a
+window forwards, one backwards, and every byte of the text gets a distribution over the
+languages, once: the MARGIN bytes where a window meets the next are context only. A
+document's distribution is the mean over all its bytes. The network is trained here, in
+numpy, by backpropagation through time on a bounded sample of labelled documents.
 
 Null texts and texts without a letter are `und` with score 0, and so is every text where
 no language was learned. Equal means go to the lesser name. Rows are judged by themselves,
@@ -27,12 +27,14 @@ from pyspark.sql import types as T
 
 from nearfold.llm.common import fresh, give_back, slices, small_batches
 
-LETTERS = regex.compile(r"\p{L}+")
-WINDOW = 24
+LETTER = regex.compile(r"\p{L}")
+WINDOW = 128
+MARGIN = 16
+STRIDE = WINDOW - 2 * MARGIN
 UNKNOWN = "und"
 
-#: Runs that a worker remembers.
-MEMO = 200_000
+#: Windows that a worker reads at once.
+MEMO = 512
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -74,6 +76,29 @@ def unread(x: np.ndarray, d_out: np.ndarray, u: np.ndarray, kept: list) -> tuple
     return seen.T @ d_g.reshape(x.size, -1), d_u
 
 
+def scan(x: np.ndarray, gates: list[tuple[np.ndarray, np.ndarray]], out: np.ndarray) -> None:
+    """As `read`, over bytes x (time, rows), into `out`, without what training needs."""
+    (zt, zu), (rt, ru), (nt, nu) = gates
+    h = np.zeros((x.shape[1], nu.shape[0]), nt.dtype)
+    for t, row in enumerate(x):
+        z, r, a = h @ zu, h @ ru, h @ nu
+        z += zt.take(row, axis=0)
+        np.tanh(z, out=z)
+        z *= 0.5
+        z += 0.5
+        r += rt.take(row, axis=0)
+        np.tanh(r, out=r)
+        r *= 0.5
+        r += 0.5
+        a *= r
+        a += nt.take(row, axis=0)
+        np.tanh(a, out=a)
+        h -= a
+        h *= z
+        h += a
+        out[t] = h
+
+
 @dataclass
 class Network:
     languages: list[str]
@@ -119,22 +144,50 @@ class Network:
         g["b_table"], g["b_u"] = unread(back, db, p["b_u"], kb)
         return float(loss), g
 
-    def run_sums(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """For each run: the sum of its bytes' distributions, and its number of bytes."""
-        out, sizes = np.zeros((len(words), len(self.languages))), np.array([len(w) for w in words])
-        parts: dict[int, list[tuple[int, bytes]]] = {}
-        for i, w in enumerate(words):
-            for at in range(0, len(w), WINDOW):
-                piece = w[at : at + WINDOW]
-                parts.setdefault(len(piece), []).append((i, piece))
-        for n, found in parts.items():
-            owner = np.array([i for i, _ in found])
-            x = np.frombuffer(b"".join(w for _, w in found), np.uint8).reshape(-1, n).astype(np.intp)
-            for a in range(0, len(x), 4096):
-                b = x[a : a + 4096]
-                turn = np.broadcast_to(np.arange(n)[::-1], b.shape)
-                np.add.at(out, owner[a : a + 4096], self.forward(b, b[:, ::-1], turn)[0].sum(axis=1))
-        return out, sizes
+    def gates(self, side: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(table, u) of the gates z, r and n of one direction, z and r halved for tanh."""
+        hidden = self.params[f"{side}_u"].shape[0]
+        cut = lambda k, i: np.ascontiguousarray(self.params[f"{side}_{k}"][:, i * hidden : (i + 1) * hidden]) * self.params["w"].dtype.type(0.5 if i < 2 else 1)
+        return [(cut("table", i), cut("u", i)) for i in range(3)]
+
+    def window_sums(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For each window of `raw`, the sum of the distributions at positions first to
+        last (exclusive)."""
+        n = int(sizes.max())
+        time, ends = np.arange(n)[:, None], starts + sizes - 1
+        h = np.empty((n, len(starts), 2 * self.params["f_u"].shape[0]), self.params["w"].dtype)
+        half = h.shape[2] // 2
+        forwards, backwards = raw[np.minimum(starts + time, ends)], raw[np.maximum(ends - time, starts)]
+        turned = np.empty((n, len(starts), half), h.dtype)
+        scan(forwards, self.gates("f"), h[:, :, :half])
+        scan(backwards, self.gates("b"), turned)
+        if (sizes == n).all():
+            h[:, :, half:] = turned[::-1]
+        else:
+            h[:, :, half:] = np.take_along_axis(turned, np.maximum(sizes - 1 - time, 0)[:, :, None], axis=0)
+        s = h.reshape(-1, 2 * half) @ self.params["w"] + self.params["c"]
+        s = np.exp(s - s.max(axis=1, keepdims=True))
+        s /= s.sum(axis=1, keepdims=True)
+        s = s.reshape(n, len(starts), -1) * ((time >= first) & (time < last))[:, :, None]
+        return s.sum(axis=0, dtype=np.float64)
+
+    def text_means(self, texts: Sequence[bytes]) -> np.ndarray:
+        """For each text (none is empty) the mean of the distributions of all its bytes."""
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        lengths = np.array([len(t) for t in texts])
+        counts, sizes = 1 + -(-np.maximum(lengths - WINDOW, 0) // STRIDE), np.minimum(lengths, WINDOW)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.minimum(k * STRIDE, (lengths - sizes)[owner])
+        before = np.where(k > 0, (k - 1) * STRIDE + WINDOW - MARGIN, 0)  # the windows before label up to here
+        upto = np.where(k == counts[owner] - 1, lengths[owner], at + WINDOW - MARGIN)
+        starts = at + (np.cumsum(lengths) - lengths)[owner]
+        out = np.zeros((len(texts), len(self.languages)))
+        order = np.argsort(sizes[owner], kind="stable")
+        for i in range(0, len(order), MEMO):
+            j = order[i : i + MEMO]
+            np.add.at(out, owner[j], self.window_sums(raw, starts[j], sizes[owner[j]], (before - at)[j], (upto - at)[j]))
+        return out / lengths[:, None]
 
 
 def padded(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,16 +203,17 @@ def padded(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def runs(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """What is read of a text: all of it, or nothing if it has no letter."""
+    return [text.lower()] if LETTER.search(text) else []
 
 
-def train(rows: Sequence[tuple[str, str]], hidden: int = 16, steps: int = 400, batch: int = 256, rate: float = 0.01, seed: int = 3) -> Network:
+def train(rows: Sequence[tuple[str, str]], hidden: int = 16, steps: int = 400, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Network:
     """A network from (language, text) rows, languages drawn evenly. Adam, fixed seed."""
     words: dict[str, list[bytes]] = {}
     for lang, text in rows:
         for w in runs(text):
             raw = w.encode()
-            words.setdefault(lang, []).extend(raw[a : a + WINDOW] for a in range(0, len(raw), WINDOW))
+            words.setdefault(lang, []).extend(raw[a : a + WINDOW] for a in range(0, max(1, len(raw) - 2 * MARGIN), STRIDE))
     languages = sorted(words)
     if not languages:
         return Network([])
@@ -184,38 +238,20 @@ def train(rows: Sequence[tuple[str, str]], hidden: int = 16, steps: int = 400, b
 
 
 class Reader:
-    """A network with the runs it has read, up to MEMO of them."""
+    """A network that labels texts, MEMO windows at once."""
 
     def __init__(self, net: Network) -> None:
         self.net = net
-        self.clear()
-
-    def clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.sums = np.zeros((0, len(self.net.languages)))
-        self.sizes = np.zeros(0, np.int64)
 
     def judge(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
-        found = [runs(t) if t else [] for t in texts]
-        if not self.net.languages:
-            return [UNKNOWN] * len(found), np.zeros(len(found))
-        if len(self.rows) > MEMO:
-            self.clear()
-        new = list(dict.fromkeys(w for ws in found for w in ws if w not in self.rows))
-        if new:
-            sums, sizes = self.net.run_sums([w.encode() for w in new])
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.sums, self.sizes = np.concatenate((self.sums, sums)), np.concatenate((self.sizes, sizes))
-        langs, scores = [], np.zeros(len(found))
-        for i, ws in enumerate(found):
-            if not ws:
-                langs.append(UNKNOWN)
-                continue
-            at = np.array([self.rows[w] for w in ws])
-            mean = self.sums[at].sum(axis=0) / self.sizes[at].sum()
-            best = int(mean.argmax())
-            langs.append(self.net.languages[best])
-            scores[i] = min(1.0, mean[best])
+        found = [w.encode() if self.net.languages else b"" for t in texts for w in (runs(t or "") or [""])]
+        langs, scores = [UNKNOWN] * len(found), np.zeros(len(found))
+        at = [i for i, w in enumerate(found) if w]
+        if at:
+            means = self.net.text_means([found[i] for i in at])
+            for i, mean in zip(at, means, strict=True):
+                best = int(mean.argmax())
+                langs[i], scores[i] = self.net.languages[best], min(1.0, mean[best])
         return langs, scores
 
 

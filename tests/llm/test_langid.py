@@ -85,3 +85,28 @@ def test_nothing_to_learn(spark):
     assert [tuple(r)[-2:] for r in L.identify(docs, L.train([])).collect()] == [("und", 0.0)]
     assert [tuple(r)[-2:] for r in L.identify(docs, L.train([("xx", "abc")])).collect()] == [("xx", 1.0)]
     assert L.identify(docs.limit(0), L.train([])).count() == 0
+
+
+def test_every_byte_of_a_long_text_is_labelled_with_its_context(net):
+    text = "".join(t + ", 12! " for _, t, _ in rows(12, 9)) + "e\u0301 \u0915\u093f"
+    raw = text.lower().encode()
+    assert len(raw) > 5 * L.WINDOW
+    want, done, a = [], 0, 0
+    while done < len(raw):
+        a = min(a, len(raw) - L.WINDOW)
+        x, back, turn, _ = L.padded([raw[a : a + L.WINDOW]])
+        last = a + L.WINDOW == len(raw)
+        upto = len(raw) if last else a + L.WINDOW - L.MARGIN
+        want.append(net.forward(x, back, turn)[0][0][done - a : upto - a])
+        done, a = upto, a + L.WINDOW - 2 * L.MARGIN
+    want = np.concatenate(want)
+    assert len(want) == len(raw)
+    short = "the eau"
+    means = net.text_means([raw, short.encode(), raw])
+    assert np.allclose(means[0], want.mean(axis=0), atol=1e-5) and np.allclose(means[0], means[2], atol=1e-6)
+    assert np.allclose(means[1], net.forward(*L.padded([short.encode()])[:3])[0][0].mean(axis=0), atol=1e-5)
+
+
+def test_marks_and_order_of_words_are_read(net):
+    score = lambda t: L.Reader(net).judge([t])[1][0]
+    assert score("the ung") != score("ung the") and score("e\u0301 eau") != score("e eau") and score("the, 12 ing") != score("the ing")

@@ -257,15 +257,19 @@ class Reader:
 
 def sample(docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "text", each: int = 300, total: int = 6000) -> list[tuple[str, str]]:
     """About `each` documents of every language, and `total` in all, chosen and ordered by
-    a hash of the text; copies are taken once."""
+    a hash of the text; copies are counted and taken once. Every language with a text keeps
+    the first of its texts in this order at least."""
     rows = docs.where(learn).select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text")).where("_lang is not null and _text is not null")
-    counts = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}  # a row for each language
+    order = F.xxhash64(F.col("_text"), F.lit(31))
+    distinct = rows.select("_lang", order.alias("_o")).distinct()
+    found = distinct.groupBy("_lang").agg(F.count("*").alias("n"), F.min("_o").alias("least")).collect()  # a row for each language
+    counts = {r["_lang"]: r["n"] for r in found}
     if not counts:
         return []
     each = max(1, min(each, total // len(counts)))
-    order = F.xxhash64(F.col("_text"), F.lit(31))
+    least = F.create_map(*(x for r in found for x in (F.lit(r["_lang"]), F.lit(r["least"]).cast("long"))))
     part = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1_000_000, -(-each * 1_000_000 // n))))))
-    chosen = rows.where(F.pmod(order, F.lit(1_000_000)) < part[F.col("_lang")]).groupBy("_lang", "_text").agg(F.first(order).alias("_o"))
+    chosen = rows.where((F.pmod(order, F.lit(1_000_000)) < part[F.col("_lang")]) | (order == least[F.col("_lang")])).groupBy("_lang", "_text").agg(F.first(order).alias("_o"))
     return [(r["_lang"], r["_text"]) for r in sorted(chosen.collect(), key=lambda r: (r["_o"], r["_lang"], r["_text"]))]
 
 

@@ -110,3 +110,12 @@ def test_every_byte_of_a_long_text_is_labelled_with_its_context(net):
 def test_marks_and_order_of_words_are_read(net):
     score = lambda t: L.Reader(net).judge([t])[1][0]
     assert score("the ung") != score("ung the") and score("e\u0301 eau") != score("e eau") and score("the, 12 ing") != score("the ing")
+
+
+def test_copies_do_not_thin_a_languages_sample(spark):
+    texts = [(f"aa text {i}", "aa") for i in range(12)] * 400 + [(f"bb text {i}", "bb") for i in range(40)] + [("one text", "cc")] * 3000
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    got = L.sample(docs, F.lit(True), each=20)
+    assert sum(lang == "aa" for lang, _ in got) == 12 and 8 <= sum(lang == "bb" for lang, _ in got) <= 32
+    assert [t for lang, t in got if lang == "cc"] == ["one text"] and len(set(got)) == len(got)
+    assert {lang for lang, _ in L.sample(docs, F.lit(True), each=1)} == {"aa", "bb", "cc"}

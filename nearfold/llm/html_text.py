@@ -7,8 +7,9 @@ says (article or boilerplate); a decision tree, trained on the small labelled ta
 space inside a block becomes one space, kept blocks are joined by an empty line.
 
 Null and empty html give an empty text. Broken markup is read as far as it goes: stray
-end tags are ignored, an unfinished tag or comment ends the page. Pages are judged by
-themselves, so repeated rows get equal texts. All columns are kept; output names replace
+end tags are ignored, an unfinished tag or comment ends the page, a head ends at what may
+not lie in it, other opaque elements without an end tag are ignored unless their content is
+raw. Pages are judged by themselves, so repeated rows get equal texts. All columns are kept; output names replace
 input columns.
 """
 
@@ -34,6 +35,8 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^
 #: Elements whose content is never text.
 OPAQUE = frozenset("script style template svg math iframe object select textarea title head canvas audio video noembed noframes".split())
 RAW = frozenset("script style title textarea iframe noembed noframes".split())
+#: What may lie in a head besides void elements.
+HEAD = frozenset("head html base basefont bgsound link meta title style script noscript noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -65,12 +68,45 @@ def says(tag: str, attributes: str, above: int, in_article: bool) -> int:
     return above
 
 
+def element_end(page: str, tag: str, at: int, unclosed: set[str]) -> int | None:
+    """Where the element whose start tag ends at `at` is over; None if nothing ends it.
+    `unclosed` remembers tags whose end was sought in vain."""
+    if tag not in unclosed:
+        close = re.compile(rf"</{tag}[\s/>]" if tag in RAW else rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+        if close:
+            closed = page.find(">", close.start())
+            return len(page) if closed < 0 else closed + 1
+        unclosed.add(tag)
+    return len(page) if tag in RAW else None
+
+
+def head_end(page: str, at: int, unclosed: set[str]) -> int:
+    """Where a head ends: after its end tag, or at the first text or tag that may not lie in it."""
+    while m := TAG.search(page, at):
+        if page[at : m.start()].strip() or m[0] == "<":
+            return at
+        if m[0] == "<!--":
+            stop = page.find("-->", m.end())
+            at = len(page) if stop < 0 else stop + 3
+            continue
+        tag = (m[2] or "").lower()
+        if tag == "head" and m[1]:
+            return m.end()
+        if tag and not m[1] and tag not in HEAD or m[1] and tag in ("body", "html"):
+            return m.start()
+        at = m.end()
+        if not m[1] and tag in ("title", "style", "script", "noscript", "noframes", "template"):
+            at = element_end(page, tag, at, unclosed) or at
+    return at
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     """(text, words, words in links, says, heading, item) of each flat block with text."""
     out: list[tuple[str, int, int, int, int, int]] = []
     stack: list[tuple[str, int, bool]] = []  # tag, says, inside an article
     parts: list[tuple[str, bool]] = []
     at, links, tag_pattern, end = 0, 0, TAG, len(page)
+    unclosed: set[str] = set()
 
     def flush() -> None:
         if parts:
@@ -121,15 +157,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
                 continue
         flush()
         if tag in OPAQUE and not m[3].endswith("/"):
-            if tag in RAW:
-                close = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(page, at)
-                stop = close.start() if close else end
-            else:
-                close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-                body = re.compile(r"<body[\s>]", re.IGNORECASE).search(page, at) if tag == "head" else None
-                stop = min(close.start() if close else end, body.start() if body else end)
-            closed = page.find(">", stop) if stop < end and page.startswith("</", stop) else stop - 1
-            at = end if closed < 0 else closed + 1
+            at = head_end(page, at, unclosed) if tag == "head" else element_end(page, tag, at, unclosed) or at
             continue
         if tag in VOID:
             continue

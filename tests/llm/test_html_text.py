@@ -71,3 +71,14 @@ def test_long_pages_take_linear_time():
     body = "<div><p>" * 20_000 + "x" + "<a href='" * 3
     assert H.main_text("<article>" + body, H.trained()) is not None
     assert np.isfinite(H.described(H.blocks("<p>a</p>" * 5))).all()
+
+
+def test_opaque_elements_without_end_tags_do_not_swallow_the_page():
+    tree = H.trained()
+    assert H.main_text("<html><head><title>T</title><article><p>text of it", tree) == "text of it"
+    assert H.main_text('<head><!-- <p> --><meta charset="x"><script>"<p>x</p>"</script><noscript><p>n</p></noscript><style>a</style><body><article><p>text</p></article>', tree) == "text"
+    assert H.main_text("<head><title>T</title></head><article><p>text</p>", tree) == "text"
+    for tag in ("select", "object", "svg", "canvas", "audio", "video"):
+        assert H.main_text(f"<article><p>one</p><{tag}><p>two</p></article>", tree) == "one\n\ntwo"
+        assert H.main_text(f"<article><p>one</p><{tag}>x</{tag}><p>two</p></article>", tree) == "one\n\ntwo"
+    assert H.main_text("<article><p>one" + "<svg><template>" * 50_000, tree) == "one"

@@ -15,6 +15,7 @@ often as they stand). Other columns are kept; output names replace input columns
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Sequence
 
@@ -63,16 +64,20 @@ def link_shares(pages: DataFrame, host: str, html_col: str) -> DataFrame:
     return counts.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share"))
 
 
-def propagate(seeds: DataFrame, shares: DataFrame, damping: float = 0.85, rounds: int = 12, tolerance: float = 1e-4) -> DataFrame:
+def propagate(seeds: DataFrame, shares: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """host, trust, distrust from seeds (host, good, bad) over shares (src, dst, share).
-    Ends when no host changed by more than `tolerance`."""
+    Ends when no host changed by more than `tolerance`, or after `rounds` where given. The
+    sum of all changes shrinks by `damping` each round, which bounds the rounds; it is an
+    error if they do not suffice."""
     ends = shares.select(F.col("src").alias("host")).unionByName(shares.select(F.col("dst").alias("host")))
     hosts = seeds.unionByName(ends.distinct().withColumns({"good": F.lit(0.0), "bad": F.lit(0.0)})).groupBy("host").agg(F.max("good").alias("good"), F.max("bad").alias("bad"))
     now = stored(hosts.select("host", "good", "bad", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "hosts")
     shares = stored(shares, "shares")
     if shares.isEmpty():
         return now.select("host", "trust", "distrust")
-    for _ in range(rounds):
+    total = max(1.0, now.agg(F.sum(F.col("good") + F.col("bad"))).first()[0] or 0.0)
+    most = math.ceil(math.log(tolerance / total) / math.log(damping)) + 2 if rounds is None else rounds
+    for _ in range(most):
         forward = shares.join(now, shares["src"] == now["host"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("trust")).alias("t"))
         back = shares.join(now, shares["dst"] == now["host"]).groupBy("src").agg(F.sum(F.col("share") * F.col("distrust")).alias("d"))
         both = forward.select(F.col("dst").alias("host"), "t", F.lit(0.0).alias("d")).unionByName(back.select(F.col("src").alias("host"), F.lit(0.0).alias("t"), "d"))
@@ -84,10 +89,13 @@ def propagate(seeds: DataFrame, shares: DataFrame, damping: float = 0.85, rounds
         now = after.select("host", "good", "bad", "trust", "distrust")
         if (moved or 0.0) <= tolerance:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"trust and distrust still move by {moved} after {most} rounds")
     return now.select("host", "trust", "distrust")
 
 
-def url_filter(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", html_col: str = "html", threshold: float = 0.5, damping: float = 0.85, rounds: int = 12, keep: Sequence[str] | None = None) -> DataFrame:
+def url_filter(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", html_col: str = "html", threshold: float = 0.5, damping: float = 0.85, rounds: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """pages (or the columns `keep` of it) with host, path, rule and verdict."""
     added = ("host", "path", "rule", "verdict")
     keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in added]

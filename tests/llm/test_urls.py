@@ -87,3 +87,13 @@ def test_broadcast_limit_changes_nothing(spark, monkeypatch):
 def test_native(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     assert not any(x in urls.url_filter(pages, RULES)._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_propagation_runs_until_nothing_moves(spark):
+    hosts = [f"c{i:02}" for i in range(15)]
+    seeds = spark.createDataFrame([(h, 0.0, float(h == hosts[-1])) for h in hosts], "host string, good double, bad double")
+    links = spark.createDataFrame([(a, b, 1.0) for a, b in zip(hosts, hosts[1:])], "src string, dst string, share double")
+    got = {r["host"]: r["distrust"] for r in urls.propagate(seeds, links, tolerance=1e-3).collect()}
+    assert all(got[h] == pytest.approx(0.85 ** (14 - i)) for i, h in enumerate(hosts))
+    with pytest.raises(RuntimeError):  # shares of more than all
+        urls.propagate(seeds, links.withColumn("share", links["share"] * 4), 0.5, tolerance=0.2)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nearfold.tables import forget, shared_folder, stored
 
-__all__ = ["WORD", "crc_remainder", "forget", "fresh", "give_back", "shared_folder", "slices", "small_batches", "stored", "table"]
+__all__ = ["WORD", "crc_remainder", "first_share", "forget", "fresh", "give_back", "shared_folder", "slices", "small_batches", "stored", "table"]
 
 #: ASCII white space; every other code point belongs to a word. As regex class members.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,3 +70,9 @@ def fresh(name: str, taken: list[str]) -> str:
 def crc_remainder(column: str, n: int):
     """crc32(id as text) mod n; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def first_share(wanted: int, total: int) -> int:
+    """The signed 64-bit hash up to which `wanted` of `total` evenly spread hashes lie:
+    exact at every size, one at least."""
+    return min((1 << 63) - 1, -(1 << 63) + (max(1, wanted) << 64) // max(1, total))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfold.llm.common import fresh, give_back, slices, small_batches
+from nearfold.llm.common import first_share, fresh, give_back, slices, small_batches
 
 #: Fixed odd multipliers of the hashes.
 STEP, MIX, PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -139,9 +139,8 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "
     total = known.count()
     if not total:
         return []
-    part = min(1.0, train_rows / total)
     order = F.xxhash64(F.col("doc_id"), F.lit(29))
-    chosen = known.where(F.pmod(order, F.lit(1_000_000)) < int(part * 1_000_000)).withColumn("_o", order)
+    chosen = known.where(order <= F.lit(first_share(train_rows, total))).withColumn("_o", order)
     # Bounded by train_rows, so it is sent to the documents and not they to it.
     found = docs.select(F.col("doc_id"), F.col("text").alias("_text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y", "_o").agg(F.min("_text").alias("_text"))
     # In the order of the hash, a part of the sample at a time on the driver.

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfold.llm import langid as L
-from nearfold.llm.common import crc_remainder
+from nearfold.llm.common import crc_remainder, first_share
 
 
 def test_backpropagation_through_time_equals_differences():
@@ -76,7 +76,13 @@ def test_table(spark):
     out = {r["doc_id"]: r for r in L.identify(docs, L.train(got, steps=150)).collect()}
     assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 for i in (900, 901, 902))
     assert np.mean([out[i]["lang_pred"] == lang for i, _, lang in data if lang]) > 0.97
-    assert all(0 <= r["score"] <= 1 for r in out.values()) and "LANG_PRED" not in docs.sparkSession.createDataFrame([], "a int").columns
+    assert all(0 <= r["score"] <= 1 for r in out.values())
+    assert L.identify(docs, L.train(got, steps=2)).columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+
+
+def test_shares_of_hashes_are_exact_at_every_size():
+    assert first_share(6000, 3) == (1 << 63) - 1 and first_share(1, 2) == 0
+    assert -(1 << 63) < first_share(6000, 10**13) < -(1 << 63) + (1 << 64) // 10**9
 
 
 def test_nothing_to_learn(spark):

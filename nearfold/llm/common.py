@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.tables import forget, shared_folder, stored
+from nearfold.tables import dropped, forget, shared_folder, steady, stored
 
-__all__ = ["WORD", "crc_remainder", "first_share", "forget", "fresh", "give_back", "shared_folder", "slices", "small_batches", "stored", "table"]
+__all__ = ["WORD", "crc_remainder", "dropped", "first_share", "forget", "fresh", "give_back", "shared_folder", "slices", "small_batches", "steady", "stored", "table"]
 
 #: ASCII white space; every other code point belongs to a word. As regex class members.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -3,15 +3,19 @@
 Documents are sets of word shingles. Documents with equal sets form a class at once; the
 join runs between classes, in these steps.
 
-1. Grams that one document alone has cannot meet. Blocks of documents send their grams,
-   packed by hash, to buckets, which count them and send back how many grams of each
-   document are shared. Who shares less than the threshold asks for has no partner.
+1. Grams that one document alone has cannot meet. Blocks of documents, some BLOCK_CHARS
+   long, send each gram that they hold once, by hash, to buckets, which count the blocks of
+   every gram and send a bit for each gram back. Which document has which gram travels with
+   the block and not with the gram, so a block costs the same at any number of buckets, and
+   of a gram in every document a bucket sees one number a block. Documents that share fewer
+   grams than the threshold asks for have no partner.
 2. One document of each class that is left sends its grams once more and gets their
    frequencies: the global order, rare first. The first n - ceil(t n) + 1 grams are the
    prefix; its unshared part is dropped, the rest is the index.
 3. Classes that share a prefix gram are candidates, under the length filter, the
-   positional filter and, on what follows the shared gram, the suffix filter. Candidates
-   are verified once by their whole sets.
+   positional filter and the suffix filter, which bounds the overlap from the number of
+   grams that either set has in each of BINS parts of the hash range. What is left is
+   verified once by the whole sets.
 4. Long posting lists hold families of near copies. First the members of a list meet a
    few pivots of the list only, and linked classes are merged, some rounds long; then all
    pairs of a list that are still apart and have not met are candidates. So a family does
@@ -20,13 +24,16 @@ join runs between classes, in these steps.
 
 Empty documents (null, no words) have no shingles and link with nothing. Null ids take
 part and get the smallest id they reach, null if none has one. Repeated rows are one class.
-Columns beside id and text play no part. The input must be a table that reads alike each
-time (Parquet, for one): blocks are named by their place in it.
+Columns beside id and text play no part. Blocks are named by their place in the input; an
+input that is not read from files row by row is written first, so that a task that runs
+again makes the same blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +42,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfold.llm import shingles as S
-from nearfold.llm.common import fresh, slices, small_batches, stored
+from nearfold.llm.common import dropped, fresh, slices, small_batches, steady, stored
 from nearfold.operators.components import components
 
 #: Grams that a bucket counts, on average.
-BUCKET_GRAMS = 800_000
+BUCKET_GRAMS = 1_500_000
 
-#: So many ids are sent to all executors; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Bytes of text, and documents, of a block. A document's number in it has 16 bits.
+BLOCK_CHARS, BLOCK_ROWS = 8 << 20, 1 << 16
 
-PACK = "bucket int, block string, kind int, a binary, b binary, ids array<long>"
-PACK_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("ids", pa.list_(pa.int64()))])
+#: Parts of the hash range that the suffix filter tells apart.
+BINS = 32
+
+PACK = "bucket int, block string, kind int, a binary, b binary, c binary, ids array<long>"
+PACK_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.string()), ("kind", pa.int32()), *((x, pa.binary()) for x in "abc"), ("ids", pa.list_(pa.int64()))])
 COUNTS, ROWS = 0, 1
 
 
@@ -55,38 +65,89 @@ def needed(n: int, num: int, den: int) -> int:
 
 
 def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
-    return ((grams >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    """By the 24 high bits of the hash."""
+    return (((grams >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
+
+
+@dataclass
+class Dealt:
+    """The distinct grams of a block in order of bucket and first owner, how many of its
+    sets have each, and which: the numbers of these sets, gram by gram."""
 
+    grams: np.ndarray
+    times: np.ndarray
+    owners: np.ndarray
+    where: np.ndarray  # buckets that get some
+    cuts: np.ndarray  # where each one's grams end
 
-def deal(sets: Sequence[np.ndarray], buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, grams each set has there, the grams set by set) for a block of sets."""
-    sizes = np.array([len(s) for s in sets])
+    def parts(self) -> Iterator[tuple[int, slice]]:
+        at = 0
+        for bucket, end in zip(self.where.tolist(), self.cuts.tolist(), strict=True):
+            yield bucket, slice(at, end)
+            at = end
+
+
+def deal(sets: Sequence[np.ndarray], buckets: int) -> Dealt:
     grams = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    where = bucket_of(grams, buckets)
-    turn = np.argsort(where, kind="stable")
-    owner = np.repeat(np.arange(len(sets)), sizes)[turn]
-    grams, where = grams[turn], where[turn]
-    starts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(where) else np.zeros(0, np.int64)
-    for a, b in zip(starts, [*starts[1:], len(where)], strict=True):
-        counts = np.bincount(owner[a:b], minlength=len(sets))
-        yield int(where[a]), counts.astype(np.min_scalar_type(int(counts.max()))), grams[a:b]
+    owners = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+    found, first, which, times = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
+    where = bucket_of(found, buckets)
+    turn = np.argsort((where << 16) | owners[first], kind="stable")
+    rank = np.empty(len(turn), np.int64)
+    rank[turn] = np.arange(len(turn))
+    by_gram = np.argsort(rank[which.reshape(-1)], kind="stable")
+    ends = np.flatnonzero(np.diff(where[turn], append=-1)) + 1 if len(turn) else np.zeros(0, np.int64)
+    return Dealt(found[turn], times[turn], owners[by_gram], where[turn][ends - 1], ends)
+
 
+def narrow(counts: np.ndarray) -> bytes:
+    """The counts in as few bytes each as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
 
-def counts_of(raw: bytes, sets: int) -> np.ndarray:
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(raw) // sets]).astype(np.int64)
 
+def widened(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(raw) // n] if n else np.uint8).astype(np.int64)
 
-def frequencies(grams: Sequence[np.ndarray]) -> list[np.ndarray]:
-    """For each gram of each block how many sets have it."""
+
+def totals(grams: Sequence[np.ndarray], times: Sequence[np.ndarray] | None = None) -> list[np.ndarray]:
+    """For each gram of each part the sum of its times (one each, if not given)."""
     every = np.concatenate(grams)
-    _, where, counts = np.unique(every, return_inverse=True, return_counts=True)
-    return np.split(counts[where.reshape(-1)], np.cumsum([len(g) for g in grams])[:-1])
+    _, which = np.unique(every, return_inverse=True)
+    sums = np.bincount(which.reshape(-1), weights=None if times is None else np.concatenate(times)).astype(np.int64)
+    return np.split(sums[which.reshape(-1)], np.cumsum([len(g) for g in grams])[:-1])
 
 
-def block_name(made: int) -> str:
+def cut_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[np.ndarray], list]]:
+    """(name, sets, ids) of blocks of documents."""
     from pyspark import TaskContext
 
-    return f"{TaskContext.get().partitionId():08d}-{made:08d}"
+    made, held, ids, chars = 0, [], [], 0
+
+    def name() -> str:
+        return f"{TaskContext.get().partitionId():08d}-{made:08d}"
+
+    for b in slices(batches, "text", rows=1024, chars=1 << 20):
+        if held and len(held) + b.num_rows > BLOCK_ROWS:
+            yield name(), held, ids
+            made, held, ids, chars = made + 1, [], [], 0
+        held += S.shingle_sets(b.column("text"), size)
+        ids += b.column("id").to_pylist()
+        chars += sum(len(s) for s in held[-b.num_rows :]) * 6
+        if chars >= BLOCK_CHARS:
+            yield name(), held, ids
+            made, held, ids, chars = made + 1, [], [], 0
+    if held:
+        yield name(), held, ids
+
+
+def split_rows(group: pa.Table) -> tuple[dict, list[dict]]:
+    """The row of a block's documents, and those of its buckets in order."""
+    rows = group.to_pylist()
+    return next(r for r in rows if r["kind"] == ROWS), sorted((r for r in rows if r["kind"] == COUNTS), key=lambda r: r["bucket"])
+
+
+def blank(bucket: int, block: str, kind: int, **filled) -> dict:
+    return {"bucket": bucket, "block": block, "kind": kind, "a": None, "b": None, "c": None, "ids": None} | filled
 
 
 def shared_counts(docs: DataFrame, buckets: int, size: int) -> DataFrame:
@@ -94,85 +155,83 @@ def shared_counts(docs: DataFrame, buckets: int, size: int) -> DataFrame:
     have too; seldom too many, as 32 bits of a gram are compared) of all documents."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for made, b in enumerate(slices(batches, "text", rows=256, chars=1 << 20)):
-            block = block_name(made)
-            sets = S.shingle_sets(b.column("text"), size)
-            rows = [{"bucket": k, "block": block, "kind": COUNTS, "a": c.tobytes(), "b": g.astype(np.uint32).tobytes(), "ids": None} for k, c, g in deal(sets, buckets)]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            rows.append({"bucket": made % buckets, "block": block, "kind": ROWS, "a": sizes.tobytes(), "b": b"".join(map(S.digest, sets)), "ids": b.column("id").to_pylist()})
+        for block, sets, ids in cut_blocks(batches, size):
+            dealt = deal(sets, buckets)
+            rows = [blank(k, block, COUNTS, a=dealt.grams[at].astype(np.uint32).tobytes()) for k, at in dealt.parts()]
+            rows.append(blank(hash_of(block) % buckets, block, ROWS, a=dealt.owners.tobytes(), b=b"".join(map(S.digest, sets)), c=narrow(dealt.times), ids=ids))
             yield pa.RecordBatch.from_pylist(rows, schema=PACK_ARROW)
 
     def count(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         counted = [r for r in rows if r["kind"] == COUNTS]
-        grams = [np.frombuffer(r["b"], np.uint32) for r in counted]
-        for r, times in zip(counted, frequencies(grams) if grams else (), strict=True):
-            r["b"] = np.packbits(times >= 2).tobytes()
+        grams = [np.frombuffer(r["a"], np.uint32) for r in counted]
+        for r, blocks in zip(counted, totals(grams) if grams else (), strict=True):
+            r["a"], r["c"] = np.packbits(blocks >= 2).tobytes(), len(blocks).to_bytes(8, "little")
         return pa.Table.from_pylist(rows, schema=PACK_ARROW)
 
     def gather(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        of = next(r for r in rows if r["kind"] == ROWS)
-        n = len(of["ids"])
-        shared = np.zeros(n, np.int64)
-        for r in rows:
-            if r["kind"] == COUNTS:
-                counts = counts_of(r["a"], n)
-                flags = np.unpackbits(np.frombuffer(r["b"], np.uint8), count=int(counts.sum())).astype(np.int64)
-                before = np.concatenate(([0], np.cumsum(flags)))
-                ends = np.cumsum(counts)
-                shared += before[ends] - before[ends - counts]
-        names = [of["b"][16 * i : 16 * i + 16].hex() for i in range(n)]
-        return pa.table({"id": pa.array(of["ids"], pa.int64()), "class": names, "n": pa.array(np.frombuffer(of["a"], np.int64)), "shared": pa.array(shared)})
+        of, rows = split_rows(group)
+        m = len(of["ids"])
+        flags = [np.unpackbits(np.frombuffer(r["a"], np.uint8), count=int.from_bytes(r["c"], "little")) for r in rows]
+        flags = np.concatenate([*flags, np.zeros(0, np.uint8)])
+        times, owners = widened(of["c"], len(flags)), np.frombuffer(of["a"], np.uint16)
+        shared = np.bincount(owners[np.repeat((flags > 0) | (times > 1), times)], minlength=m)
+        names = [of["b"][16 * i : 16 * i + 16].hex() for i in range(m)]
+        return pa.table({"id": pa.array(of["ids"], pa.int64()), "class": names, "n": pa.array(np.bincount(owners, minlength=m)), "shared": pa.array(shared)})
 
     packs = docs.mapInArrow(pack, PACK)
     counted = packs.groupBy("bucket").applyInArrow(count, PACK)
     return counted.groupBy("block").applyInArrow(gather, "id long, class string, n long, shared long")
 
 
+def hash_of(block: str) -> int:
+    return int.from_bytes(hashlib.blake2b(block.encode(), digest_size=4).digest(), "little")
+
+
+def bins_of(grams: np.ndarray) -> np.ndarray:
+    return np.bincount(grams & (BINS - 1), minlength=BINS)
+
+
 def ordered_sets(docs: DataFrame, buckets: int, size: int, num: int, den: int) -> DataFrame:
-    """class, n, lone (grams that no other class has) and grams, the others in global
-    order, of classes with a shared prefix. A gram is its frequency class in the high byte
-    (rarer is less) and 56 bits of its hash, so that the order is that of the numbers."""
+    """class, n, lone (grams that no other class has), bins (the others counted by part of
+    the hash range) and grams, the others in global order, of classes with a shared prefix.
+    A gram is its frequency class in the high byte (rarer is less) and 56 bits of its hash,
+    so that the order is that of the numbers."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for made, b in enumerate(slices(batches, "text", rows=256, chars=1 << 20)):
-            block = block_name(made)
-            sets = S.shingle_sets(b.column("text"), size)
-            rows = [{"bucket": k, "block": block, "kind": COUNTS, "a": c.tobytes(), "b": g.tobytes(), "ids": None} for k, c, g in deal(sets, buckets)]
-            rows.append({"bucket": made % buckets, "block": block, "kind": ROWS, "a": None, "b": b"".join(map(S.digest, sets)), "ids": None})
+        for block, sets, _ in cut_blocks(batches, size):
+            dealt = deal(sets, buckets)
+            rows = [blank(k, block, COUNTS, a=dealt.grams[at].tobytes(), c=narrow(dealt.times[at])) for k, at in dealt.parts()]
+            rows.append(blank(hash_of(block) % buckets, block, ROWS, a=dealt.owners.tobytes(), b=b"".join(map(S.digest, sets)), c=narrow(dealt.times)))
             yield pa.RecordBatch.from_pylist(rows, schema=PACK_ARROW)
 
     def count(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         counted = [r for r in rows if r["kind"] == COUNTS]
-        grams = [np.frombuffer(r["b"], np.uint64) for r in counted]
-        for r, g, times in zip(counted, grams, frequencies(grams) if grams else (), strict=True):
-            level = np.minimum(127, np.floor(4 * np.log2(times))).astype(np.uint64)
-            r["b"] = ((level << np.uint64(56)) | (g >> np.uint64(8))).tobytes()
+        grams = [np.frombuffer(r["a"], np.uint64) for r in counted]
+        times = [widened(r["c"], len(g)) for r, g in zip(counted, grams, strict=True)]
+        for r, g, all_ in zip(counted, grams, totals(grams, times) if grams else (), strict=True):
+            level = np.minimum(127, np.floor(4 * np.log2(all_))).astype(np.uint64)
+            r["a"], r["c"] = ((level << np.uint64(56)) | (g >> np.uint64(8))).tobytes(), None
         return pa.Table.from_pylist(rows, schema=PACK_ARROW)
 
     def gather(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        names = next(r for r in rows if r["kind"] == ROWS)["b"]
-        m = len(names) // 16
-        parts: list[list[np.ndarray]] = [[] for _ in range(m)]
-        for r in rows:
-            if r["kind"] == COUNTS:
-                ends = np.cumsum(counts_of(r["a"], m))
-                for i, part in enumerate(np.split(np.frombuffer(r["b"], np.uint64), ends[:-1])):
-                    parts[i].append(part)
+        of, rows = split_rows(group)
+        m = len(of["b"]) // 16
+        found = np.concatenate([*(np.frombuffer(r["a"], np.uint64) for r in rows), np.zeros(0, np.uint64)])
+        owners = np.frombuffer(of["a"], np.uint16)
+        every = np.repeat(found, widened(of["c"], len(found))).astype(np.int64)[np.argsort(owners, kind="stable")]
         out = []
-        for i in range(m):
-            grams = np.sort(np.concatenate([*parts[i], np.zeros(0, np.uint64)])).astype(np.int64)
+        for i, part in enumerate(np.split(every, np.cumsum(np.bincount(owners, minlength=m))[:-1])):
+            grams = np.sort(part)
             n, lone = len(grams), int(np.searchsorted(grams, 1 << 56))
             if n and lone < n - needed(n, num, den) + 1:
-                out.append({"class": names[16 * i : 16 * i + 16].hex(), "n": n, "lone": lone, "grams": grams[lone:]})
-        return pa.Table.from_pylist(out, schema=pa.schema([("class", pa.string()), ("n", pa.int64()), ("lone", pa.int64()), ("grams", pa.list_(pa.int64()))]))
+                out.append({"class": of["b"][16 * i : 16 * i + 16].hex(), "n": n, "lone": lone, "bins": bins_of(grams[lone:]), "grams": grams[lone:]})
+        return pa.Table.from_pylist(out, schema=pa.schema([("class", pa.string()), ("n", pa.int64()), ("lone", pa.int64()), ("bins", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64()))]))
 
     packs = docs.mapInArrow(pack, PACK)
     counted = packs.groupBy("bucket").applyInArrow(count, PACK)
-    return counted.groupBy("block").applyInArrow(gather, "class string, n long, lone long, grams array<long>")
+    return counted.groupBy("block").applyInArrow(gather, "class string, n long, lone long, bins array<int>, grams array<long>")
 
 
 def overlap_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
@@ -196,10 +255,18 @@ def verified(x: np.ndarray, y: np.ndarray, at_x: int, at_y: int, least: int) ->
     return int((x[both] == y).sum()) >= least
 
 
+def bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, ...) whose bins admit a link, with `least`, the grams to share."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den))
+    most = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return pairs.join(a, "a").join(b, "b").withColumn("least", least).where(most >= F.col("least")).select(*pairs.columns, "least")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """a, b, linked for each pair (a, b, at_a, at_b: places in the whole ordered sets)."""
-    of = sets.select("node", "n", "lone", "grams")
-    a, b = (of.withColumnsRenamed({"node": x, **{c: f"{c}_{x}" for c in ("n", "lone", "grams")}}) for x in "ab")
+    of = sets.select("node", "lone", "grams")
+    a, b = (of.withColumnsRenamed({"node": x, **{c: f"{c}_{x}" for c in ("lone", "grams")}}) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,8 +277,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             linked = [verified(fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]], at_a[i], at_b[i], least[i]) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    least = F.ceil((F.col("n_a") + F.col("n_b")) * num / (num + den)).alias("least")
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("at_a") - F.col("lone_a")).alias("at_a"), (F.col("at_b") - F.col("lone_b")).alias("at_b"), least, "grams_a", "grams_b")
+    met = bounded(pairs, sets, num, den).join(a, "a").join(b, "b").select("a", "b", (F.col("at_a") - F.col("lone_a")).alias("at_a"), (F.col("at_b") - F.col("lone_b")).alias("at_b"), "least", "grams_a", "grams_b")
     return met.mapInArrow(run, "a long, b long, linked boolean")
 
 
@@ -243,10 +309,15 @@ def classes_linked(sets: DataFrame, num: int, den: int, rounds: tuple[int, ...]
         return once if refused is None else once.join(refused, ["a", "b"], "left_anti")
 
     for turn, pivots in enumerate([*rounds, 0]):
-        now = entries.join(labels, "node")
-        # Lists of one component are done, and stay so.
-        lists = now.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")).where("least <> most").select("gram", "members")
+        now = stored(entries.join(labels, "node"), "posted")
+        dropped(entries)
+        # Lists of one component are done, and stay so. The open ones are written, so that
+        # they are joined by their size, and a long list is split where it is joined.
+        lists = stored(now.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")).where("least <> most").select("gram", "members"), "lists")
+        if lists.isEmpty():
+            break
         open_ = stored(now.join(lists, "gram"), "open")
+        dropped(now)
         entries = open_.select("gram", "node", "n", "pos")
         others = open_.select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"), "members")
         if pivots:
@@ -262,7 +333,9 @@ def classes_linked(sets: DataFrame, num: int, den: int, rounds: tuple[int, ...]
         one, two = (labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
         links = found.where("linked").join(one, "a").join(two, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         up = components(links).select(F.col("node").alias("component"), F.col("component").alias("root"))
-        labels = stored(labels.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        before, labels = labels, stored(labels.join(up, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+        if turn:
+            dropped(before)
     return labels
 
 
@@ -274,9 +347,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("the threshold must lie in (0, 1]")
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = steady(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "texts")
     amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-amount // (6 * bucket_grams)))
+    buckets = min(1 << 24, max(1, -(-amount // (6 * bucket_grams))))
 
     every = stored(shared_counts(docs, buckets, size), "classes")
     left = every.where((F.col("n") > 0) & (F.col("shared") * den >= F.col("n") * num))
@@ -285,8 +358,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = stored(chosen, "chosen")
 
     def texts(ids: DataFrame) -> DataFrame:
-        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        return docs.join(ids, "id", "left_semi")
 
     # Ids that stand for one row need no look at their class; of the others (repeated or
     # null ids) every text is kept once.
@@ -295,9 +367,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not many.isEmpty():
         again = texts(many.where("id is not null").select("id")).unionByName(docs.where("id is null")).select(F.lit(None).cast("long").alias("id"), "text")
         single = single.unionByName(again.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("key")).agg(F.first("text").alias("text")).select(F.lit(None).cast("long").alias("id"), "text"))
-        sets = ordered_sets(single, buckets, size, num, den).dropDuplicates(["class"])
-    else:
-        sets = ordered_sets(single, buckets, size, num, den)
+    # Written first: what a join or an aggregation gives has no order that a task that runs
+    # again would repeat, and blocks are named by place.
+    sets = ordered_sets(stored(single.select("text", "id"), "single"), buckets, size, num, den).dropDuplicates(["class"])
     sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     linked = classes_linked(sets, num, den).join(sets.select("node", "class"), "node").select("class", F.col("component").cast("string").alias("component"))
 
@@ -325,8 +397,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = by_id.where("id is not null and rows = 1 and not stays").select(F.col("id").alias(gone))
     unclear = by_id.where("id is not null and rows > 1").select(F.col("id").alias(gone))
     out = out.unionByName(unclear)
-    few = out.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    clear = docs.where(docs[id_col].isNotNull()).join(F.broadcast(out) if few else out, this == F.col(gone), "left_anti")
+    clear = docs.where(docs[id_col].isNotNull()).join(out, this == F.col(gone), "left_anti")
     if by_id.where("id is null or rows > 1").isEmpty():
         return clear
     rest = docs.where(docs[id_col].isNull()).unionByName(docs.join(unclear, this == F.col(gone), "left_semi"))

@@ -95,8 +95,7 @@ def test_components_equal_brute_force(spark, seed, num, den, size, bucket):
     assert sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in out), key=key) == want
 
 
-def test_repeated_rows_and_null_ids(spark, monkeypatch):
-    monkeypatch.setattr(J, "BROADCAST_IDS", 1)
+def test_repeated_rows_and_null_ids(spark):
     base = [f"w{i}" for i in range(40)]
     near = [*base[:20], "new", *base[21:]]
     far = [f"v{i}" for i in range(30)]
@@ -115,6 +114,7 @@ def test_empty_table_and_thresholds(spark):
 
 def test_rounds_change_nothing(spark, monkeypatch):
     docs = spark.createDataFrame(corpus(7), "doc_id long, text string")
+    monkeypatch.setattr(J, "BLOCK_ROWS", 9)
     whole = J.classes_linked
     seen = []
     for rounds in ((), (1,), (2, 3)):
@@ -126,3 +126,47 @@ def test_rounds_change_nothing(spark, monkeypatch):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("x", "y"), ("y", "x"), ("z", "z")], "a string, b string")
     assert {r["node"]: r["component"] for r in J.components(edges).collect()} == {f"{i:03d}": "000" for i in range(61)} | {"x": "x", "y": "x"}
+
+
+def test_bins_bound_the_overlap_of_whole_sets():
+    rng = random.Random(3)
+    for _ in range(200):
+        x = np.array(sorted(rng.sample(range(1 << 12), rng.randint(1, 90))))
+        y = np.array(sorted(set(rng.sample(range(1 << 12), rng.randint(1, 40))) | set(rng.sample(list(x), rng.randint(1, len(x))))))
+        assert np.minimum(J.bins_of(x), J.bins_of(y)).sum() >= len(np.intersect1d(x, y))
+
+
+def test_a_block_is_dealt_whole_and_costs_the_same_at_any_number_of_buckets():
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.integers(0, 1 << 63, rng.integers(0, 400), dtype=np.uint64) * np.uint64(2), common[: rng.integers(0, 50)]))) for _ in range(3000)]
+    sent = {}
+    for buckets in (1, 20, 60_000):  # at 0.1 GB, and at 600 GB, of texts
+        dealt = J.deal(sets, buckets)
+        back = [[] for _ in sets]
+        for g, t, at in zip(dealt.grams, dealt.times, np.cumsum(dealt.times) - dealt.times):
+            for o in dealt.owners[at : at + t]:
+                back[o].append(g)
+        assert all(np.array_equal(np.sort(np.array(b, np.uint64)), s) for b, s in zip(back, sets))
+        parts = list(dealt.parts())
+        assert [k for k, _ in parts] == sorted({int(x) for x in J.bucket_of(dealt.grams, buckets)})
+        assert sum(p.stop - p.start for _, p in parts) == len(dealt.grams) == len(np.unique(dealt.grams))
+        assert all((J.bucket_of(dealt.grams[p], buckets) == k).all() for k, p in parts)
+        sent[buckets] = sum(4 * (p.stop - p.start) for _, p in parts) + dealt.owners.nbytes + len(J.narrow(dealt.times))
+    assert len(set(sent.values())) == 1
+
+
+def test_hot_grams_come_once_a_block():
+    sets = [np.array([7, 10 + i], np.uint64) for i in range(5000)]
+    dealt = J.deal(sets, 4)
+    assert (dealt.grams == 7).sum() == 1 and dealt.times[dealt.grams == 7][0] == 5000
+    assert J.deal([], 4).grams.size == 0 and J.deal([np.zeros(0, np.uint64)], 4).owners.size == 0
+
+
+def test_input_in_no_order_is_written_first(spark, tmp_path):
+    docs = spark.createDataFrame(corpus(9), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    files = spark.read.parquet(str(tmp_path / "docs"))
+    assert J.steady(files.where("doc_id > 3").select("text"), "x")._jdf.queryExecution().optimizedPlan().toString().count("Filter") == 1
+    shuffled = files.repartition(5).groupBy("doc_id").agg({"text": "max"})
+    assert "Aggregate" not in J.steady(shuffled, "x")._jdf.queryExecution().optimizedPlan().toString()

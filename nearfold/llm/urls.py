@@ -2,11 +2,16 @@
 
 Rules name a host, with its subdomains, and the start of a path; the longest that fits
 decides. Pages that no rule fits are judged by their host. Every host has two seeds: the
-share of its pages that rules allow and the share that rules block. Trust is the
-personalised PageRank that flows from the allowed seeds along links; distrust flows from
-the blocked seeds against the links, so it is the discounted chance that a surfer who
-starts at the host comes to blocked pages. A host is blocked if its distrust exceeds its
-trust by `threshold`.
+share of its pages that rules allow and the share that rules block. Both scores of a host
+lie between 0 and 1, whatever the size of the graph:
+
+- trust is the share of the host's PageRank that comes from the allowed seeds: the
+  personalised PageRank that restarts at them, by the one that restarts at every host;
+- distrust runs against the links from the blocked seeds: the chance that a surfer who
+  starts at the host, follows a link with probability `damping` and stops otherwise, or
+  where there is no link, stops at a blocked page.
+
+A host is blocked if its distrust exceeds its trust by `threshold`.
 
 Host and path are empty for a null url or one without ://. Null html has no links. Pages
 are judged row by row, so repeated rows get equal verdicts (repeated links count as
@@ -22,13 +27,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import fresh, stored
+from nearfold.llm.common import dropped, fresh, stored
 
 #: (verdict, host, start of the path)
 Rule = tuple[str, str, str]
 
-#: Absolute targets of anchors, without the scheme.
-LINK = r"""(?is)<a\s[^>]{0,4000}?href\s{0,20}=\s{0,20}["']?\s{0,20}(?:https?:)?(//[^"'\s>]+)"""
+#: Absolute targets of anchors, without the scheme. Attributes before href are passed one
+#: by one, quoted values included; repetitions are possessive, so none recurses.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)"""
+LINK = rf"""(?is)<a(?:[\s/]++(?!href[\s]*+=)[^\s=>/"']++(?:\s*+=\s*+{_VALUE})?+)*+[\s/]++href\s*+=\s*+["']?+\s*+(?:https?:)?+(//[^"'\s>]++)"""
 
 #: So many blocked hosts are sent to all executors; more are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
@@ -66,33 +73,39 @@ def link_shares(pages: DataFrame, host: str, html_col: str) -> DataFrame:
 
 def propagate(seeds: DataFrame, shares: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """host, trust, distrust from seeds (host, good, bad) over shares (src, dst, share).
-    Ends when no host changed by more than `tolerance`, or after `rounds` where given. The
-    sum of all changes shrinks by `damping` each round, which bounds the rounds; it is an
-    error if they do not suffice."""
+    Ends when no rank or distrust changed by more than `tolerance`, or after `rounds` where
+    given. The sum of all changes shrinks by `damping` each round, which bounds the rounds;
+    it is an error if they do not suffice."""
     ends = shares.select(F.col("src").alias("host")).unionByName(shares.select(F.col("dst").alias("host")))
     hosts = seeds.unionByName(ends.distinct().withColumns({"good": F.lit(0.0), "bad": F.lit(0.0)})).groupBy("host").agg(F.max("good").alias("good"), F.max("bad").alias("bad"))
-    now = stored(hosts.select("host", "good", "bad", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "hosts")
     shares = stored(shares, "shares")
     if shares.isEmpty():
-        return now.select("host", "trust", "distrust")
-    total = max(1.0, now.agg(F.sum(F.col("good") + F.col("bad"))).first()[0] or 0.0)
+        return hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    # A surfer stops where no link leads on.
+    leaving = shares.select(F.col("src").alias("host")).distinct().withColumn("stop", F.lit(1 - damping))
+    hosts = hosts.join(leaving, "host", "left").withColumn("stop", F.coalesce("stop", F.lit(1.0)))
+    fixed = ["host", "good", "bad", "stop"]
+    scores = ("from_good", "from_all", "distrust")
+    start = {"from_good": (1 - damping) * F.col("good"), "from_all": F.lit(1 - damping), "distrust": F.col("stop") * F.col("bad")}
+    now = stored(hosts.withColumns(start), "hosts")
+    total = max(1.0, float(now.count()))
     most = math.ceil(math.log(tolerance / total) / math.log(damping)) + 2 if rounds is None else rounds
+    none = F.lit(0.0)
     for _ in range(most):
-        forward = shares.join(now, shares["src"] == now["host"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("trust")).alias("t"))
-        back = shares.join(now, shares["dst"] == now["host"]).groupBy("src").agg(F.sum(F.col("share") * F.col("distrust")).alias("d"))
-        both = forward.select(F.col("dst").alias("host"), "t", F.lit(0.0).alias("d")).unionByName(back.select(F.col("src").alias("host"), F.lit(0.0).alias("t"), "d"))
-        both = both.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-        after = now.join(both, "host", "left").select("host", "good", "bad", F.col("trust").alias("was_t"), F.col("distrust").alias("was_d"), (F.col("good") + damping * zero("t")).alias("trust"), (F.col("bad") + damping * zero("d")).alias("distrust"))
-        after = stored(after, "hosts")
-        moved = after.agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("was_t")), F.abs(F.col("distrust") - F.col("was_d"))))).first()[0]
-        now = after.select("host", "good", "bad", "trust", "distrust")
-        if (moved or 0.0) <= tolerance:
+        along = lambda c: F.sum(F.col("share") * F.col(c)).alias(c)
+        forward = shares.join(now, shares["src"] == now["host"]).groupBy(F.col("dst").alias("host")).agg(along("from_good"), along("from_all"), F.sum(none).alias("distrust"))
+        back = shares.join(now, shares["dst"] == now["host"]).groupBy(F.col("src").alias("host")).agg(F.sum(none).alias("from_good"), F.sum(none).alias("from_all"), along("distrust"))
+        both = forward.unionByName(back).groupBy("host").agg(*(F.sum(c).alias(f"in_{c}") for c in scores))
+        after = now.join(both, "host", "left").select(*fixed, *(F.col(c).alias(f"was_{c}") for c in scores), *((start[c] + damping * F.coalesce(f"in_{c}", none)).alias(c) for c in scores))
+        before, now = now, stored(after, "hosts")
+        dropped(before)
+        moved = now.agg(F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"was_{c}")) for c in scores)))).first()[0] or 0.0
+        if moved <= tolerance:
             break
     else:
         if rounds is None:
             raise RuntimeError(f"trust and distrust still move by {moved} after {most} rounds")
-    return now.select("host", "trust", "distrust")
+    return now.select("host", (F.col("from_good") / F.col("from_all")).alias("trust"), "distrust")
 
 
 def url_filter(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", html_col: str = "html", threshold: float = 0.5, damping: float = 0.85, rounds: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:

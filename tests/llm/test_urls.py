@@ -1,5 +1,7 @@
+import random
 import re
 
+import numpy as np
 import pytest
 
 from nearfold.llm import urls
@@ -36,27 +38,80 @@ def test_rules(spark):
         assert out[i]["verdict"] == (verdict or by_host), u
 
 
-def surf(shares, good, bad, damping, rounds):
-    trust, distrust = dict(good), dict(bad)
-    for _ in range(rounds):
-        t, d = dict(good), dict(bad)
-        for (a, b), w in shares.items():
-            t[b] += damping * w * trust[a]
-            d[a] += damping * w * distrust[b]
-        trust, distrust = t, d
-    return trust, distrust
+def solved(hosts, shares, good, bad, damping=0.85):
+    """trust and distrust of every host by linear equations."""
+    at = {h: i for i, h in enumerate(hosts)}
+    m = np.zeros((len(hosts), len(hosts)))
+    for (a, b), w in shares.items():
+        m[at[a], at[b]] += w
+    g, c = (np.array([float(x.get(h, 0)) for h in hosts]) for x in (good, bad))
+    eye = np.eye(len(hosts))
+    stop = np.where(m.sum(axis=1) > 0, 1 - damping, 1.0)
+    rank = lambda seed: np.linalg.solve(eye - damping * m.T, (1 - damping) * seed)
+    trust, distrust = rank(g) / rank(np.ones(len(hosts))), np.linalg.solve(eye - damping * m, stop * c)
+    return {h: (trust[i], distrust[i]) for h, i in at.items()}
 
 
-def test_propagation_equals_the_sums_by_hand(spark):
-    hosts = "abcdef"
-    shares = {("a", "b"): 0.5, ("a", "c"): 0.5, ("b", "c"): 1.0, ("c", "d"): 1.0, ("d", "e"): 0.25, ("d", "a"): 0.75}
-    good = dict.fromkeys(hosts, 0.0) | {"a": 1.0}
-    bad = dict.fromkeys(hosts, 0.0) | {"e": 1.0, "b": 0.5}
-    seeds = spark.createDataFrame([(h, good[h], bad[h]) for h in hosts], "host string, good double, bad double")
+#: A small graph, a long chain and two cycles.
+SHARES = {("a", "b"): 0.5, ("a", "c"): 0.5, ("b", "c"): 1.0, ("c", "d"): 1.0, ("d", "e"): 0.25, ("d", "a"): 0.75}
+SHARES |= {(f"c{i:02}", f"c{i + 1:02}"): 1.0 for i in range(30)} | {("p", "q"): 1.0, ("q", "p"): 1.0, ("r", "s"): 1.0, ("s", "r"): 1.0}
+GOOD, BAD = {"a": 1.0, "c00": 1.0, "r": 1.0}, {"e": 1.0, "b": 0.5, "c30": 1.0, "p": 0.17, "s": 0.9}
+
+
+def test_propagation_equals_the_linear_equations(spark):
+    shares, good, bad = SHARES, GOOD, BAD
+    hosts = sorted({x for e in shares for x in e})
+    seeds = spark.createDataFrame([(h, good.get(h, 0.0), bad.get(h, 0.0)) for h in hosts], "host string, good double, bad double")
     links = spark.createDataFrame([(a, b, w) for (a, b), w in shares.items()], "src string, dst string, share double")
-    trust, distrust = surf(shares, good, bad, 0.85, 4)
-    for r in urls.propagate(seeds, links, 0.85, 4, 0.0).collect():
-        assert r["trust"] == pytest.approx(trust[r["host"]]) and r["distrust"] == pytest.approx(distrust[r["host"]])
+    want = solved(hosts, shares, good, bad)
+    for r in urls.propagate(seeds, links).collect():
+        assert (r["trust"], r["distrust"]) == pytest.approx(want[r["host"]], abs=1e-3)
+        assert 0 <= r["trust"] <= 1 and 0 <= r["distrust"] <= 1
+        assert (r["distrust"] - r["trust"] >= 0.5) == (want[r["host"]][1] - want[r["host"]][0] >= 0.5)
+
+
+def test_verdicts_equal_brute_force_end_to_end(spark):
+    rng = random.Random(6)
+    names = [f"h{i}.{['net', 'com', 'com', 'org', 'net', 'com'][i % 6]}" for i in range(14)]
+    rows = []
+    for i in range(60):
+        body = "".join(f"<a {rng.choice(['', 'class=x ', 'data-a=\'1 > 0\' '])}href='{rng.choice(['http:', 'https:', ''])}//{rng.choice(names)}/{rng.choice('xy')}'>t</a>" for _ in range(rng.randint(0, 4)))
+        rows.append((i, f"http://{rng.choice(names)}/{rng.choice(['en/', 'fr/', 'de/', ''])}p{i}", body or None))
+    rows += [(60, "http://farm.com/p", "<a href='//dead.net/x'>t</a>"), (61, "http://dead.net/x", None)]
+    edges, pages = {}, {}
+    for _, url, body in rows:
+        host, path = split(url)
+        pages.setdefault(host, []).append(rule_of(host, path)[0])
+        for to in re.findall(r"href='(?:https?:)?//([^/]*)", body or ""):
+            if to != host:
+                edges[host, to] = edges.get((host, to), 0) + 1
+    hosts = sorted(set(pages) | {x for e in edges for x in e})
+    out = {h: sum(n for (a, _), n in edges.items() if a == h) for h in hosts}
+    share = lambda kind: {h: v.count(kind) / len(v) for h, v in pages.items()}
+    want = solved(hosts, {e: n / out[e[0]] for e, n in edges.items()}, share("allow"), share("block"))
+    got = {r["page_id"]: r["verdict"] for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    seen = set()
+    for i, url, _ in rows:
+        host, path = split(url)
+        trust, distrust = want[host]
+        if abs(distrust - trust - 0.5) > 2e-3:
+            verdict = rule_of(host, path)[0] or ("block" if distrust - trust >= 0.5 else "allow")
+            assert got[i] == verdict
+            seen.add((rule_of(host, path)[0], verdict))
+    assert {(None, "allow"), (None, "block")} <= seen
+
+
+def test_links_of_any_length(spark):
+    html = [
+        '<a href="//x.net/">',
+        '<A data-x="' + "y" * 9000 + '" HREF="http://x.net/">',
+        "<a title='1 > 0' \n href   =" + " " * 40 + "'https://x.net/a'>",
+        "<a " + "k " * 5000 + "href=//x.net>",
+        '<a data-href="//y.com" href="//x.net/q">',
+        "<abbr href='//y.com'><a>//y.com</a><a name=b>",
+    ]
+    frame = spark.createDataFrame([(f"h{i}", x) for i, x in enumerate(html)], "src string, html string")
+    assert sorted((r["src"], r["dst"]) for r in urls.link_shares(frame, "src", "html").collect()) == [(f"h{i}", "x.net") for i in range(5)]
 
 
 def test_linkers_to_blocked_hosts_fall_and_trusted_ones_stand(spark):

@@ -3,7 +3,7 @@
 Base patterns (e-mail, IP, card, phone) are always spans. Generators of high recall
 propose further, overlapping candidates; boosted trees score each from its format and the
 words around it; candidates over their kind's calibrated threshold are taken, best first,
-if they overlap nothing taken before. Trees are trained on a small table of examples
+if they overlap nothing taken before; runs of overlapping spans are settled one by one. Trees are trained on a small table of examples
 (EXAMPLES_PER_TEMPLATE of each template) whose features the same expressions compute, and
 are compiled to CASE expressions: documents meet JVM expressions only.
 
@@ -43,7 +43,7 @@ GENERATORS = (
     ("joined_phone", "phone", r"[0-9]{9}", r"(?<![0-9A-Za-z+.,/-])[0-9]{9,11}(?![0-9A-Za-z])"),
     ("iban", "iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("social", "id", r"[0-9]-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("ip_six", "ip", r":", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::|[0-9A-Fa-f]{1,4})(?::?[0-9A-Fa-f]{1,4}){0,4}(?![0-9A-Za-z:])"),
+    ("ip_six", "ip", r":", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){2,7})(?![0-9A-Za-z:])"),
 )
 
 #: Words in front of a candidate, as patterns over its lower-cased left context.
@@ -128,15 +128,30 @@ def iban_checks(m: Column) -> Column:
     return rest == 1
 
 
+#: Code points of the pieces in which a text is cut to look around a candidate.
+CELL = 1024
+
+
+def around(cells: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """The LEFT code points before `start` and the one at `end`, from the text's pieces of
+    CELL code points, so that no look walks through the whole text."""
+    empty = F.lit("")
+    cell = lambda at: F.when(at >= 0, F.coalesce(F.get(cells, at), empty)).otherwise(empty)
+    k = F.floor(start / CELL).cast("int")
+    two, inside = F.concat(cell(k - 1), cell(k)), F.when(k > 0, start % CELL + CELL).otherwise(start)
+    left = F.substring(two, F.greatest(inside - LEFT + 1, F.lit(1)), F.least(inside, F.lit(LEFT)))
+    return left, F.substring(cell(F.floor(end / CELL).cast("int")), end % CELL + 1, 1)
+
+
 def candidates(text: Column) -> Column:
     """All that the generators propose: start, end, rank, kind and the features."""
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
 
-    def described(s: Column, generator: str, kind: str) -> Column:
+    def described(s: Column, generator: str, kind: str, cells: Column) -> Column:
         m = s["m"]
-        left = F.lower(F.substring(text, F.greatest(s["start"] - LEFT + 1, F.lit(1)), F.least(s["start"], F.lit(LEFT))))
-        right = F.substring(text, s["end"] + 1, 1)
-        checks = {"iban": iban_checks(m), "social": ~F.rlike(m, F.lit(r"^(?:000|666|9)|-00-|-0000$")), "ip_six": F.size(F.split(m, ":")) == 8}.get(generator, F.lit(False))
+        left, right = around(cells, s["start"], s["end"])
+        left = F.lower(left)
+        checks = {"iban": iban_checks(m), "social": ~F.rlike(m, F.lit(r"^(?:000|666|9)|-00-|-0000$")), "ip_six": F.when(F.contains(m, F.lit("::")), F.size(F.split(m, ":")) <= 8).otherwise(F.size(F.split(m, ":")) == 8)}.get(generator, F.lit(False))
         values = [
             *(F.lit(float(g[0] == generator)) for g in GENERATORS),
             F.length(digits(m)).cast("double"),
@@ -156,10 +171,14 @@ def candidates(text: Column) -> Column:
         ]
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), *(v.alias(n) for v, n in zip(values, FEATURES, strict=True)))
 
-    def describe(generator: str, kind: str) -> Callable[[Column], Column]:
-        return lambda s: described(s, generator, kind)
+    def describe(generator: str, kind: str, cells: Column) -> Callable[[Column], Column]:
+        return lambda s: described(s, generator, kind, cells)
+
+    def of_text(found: Column) -> Column:
+        cells = F.when(F.exists(found, lambda x: F.size(x) > 0), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CELL}}}"), F.lit(0)))
+        return let(cells, lambda c: F.concat(*(F.transform(F.get(found, i), describe(g, k, c)) for i, (g, k, _, _) in enumerate(GENERATORS))))
 
-    return F.concat(*(F.transform(matches(text, pattern, needs), describe(g, k)) for g, k, needs, pattern in GENERATORS))
+    return let(F.array(*(matches(text, pattern, needs) for _, _, needs, pattern in GENERATORS)), of_text)
 
 
 # --- Training ---------------------------------------------------------------------------
@@ -180,7 +199,7 @@ TEMPLATES = (
     ("iban", 0, ("part ", "", "model ", "version "), ("AA99 AAAA 9999 9999", "AA999999AAAA99", "AB12CD34EF56")),
     ("social", 1, ("SSN ", "social security no. ", "ident: "), ("899-89-8999",)),
     ("social", 0, ("part ", "ISBN ", "", "model ", "section "), ("999-99-0000", "000-89-8999", "899-89-8999", "999-00-9999")),
-    ("ip_six", 1, ("host ", "IP ", "server ", ""), ("hhhh:hhhh:hhhh:hhhh:hhhh:hhhh:hhhh:hhhh", "h0:h:hhh:hhhh:hhhh:hh:h:hhhh")),
+    ("ip_six", 1, ("host ", "IP ", "server ", ""), ("hhhh:hhhh:hhhh:hhhh:hhhh:hhhh:hhhh:hhhh", "h0:h:hhh:hhhh:hhhh:hh:h:hhhh", "he80::h", "::8", "2008::h:hh", "2008:hh8::hhhh:h")),
     ("ip_six", 0, ("time ", "at ", "ratio ", ""), ("89:99:99", "8:9:9", "hh:hh:hh:hh:hh:hh")),
 )
 EXAMPLES_PER_TEMPLATE = 4
@@ -323,14 +342,45 @@ def find_pii(docs: DataFrame, text_col: str = "text", base_col: str = "base", sp
     least = " ".join(f"WHEN '{k}' THEN {math.log(t / (1 - t)) if t < 1 else 1e9!r}D" for k, t in limit.items())
     taken = F.expr(f"array_sort(filter(transform(`{proposed}`, c -> struct(-({a!r}D * ({score}) + {b!r}D) AS worse, c.start AS start, c.rank AS rank, c.kind AS kind, c.end AS end)), s -> -s.worse >= CASE s.kind {least} END))")
     taken = F.when(F.size(proposed) > 0, taken)
-    empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     frame = frame.select(*keep, base_col, taken.alias(proposed))
-    free = lambda acc, c: ~F.exists(acc, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    merged = F.aggregate(proposed, F.col(base_col), lambda acc, c: F.when(free(acc, c), F.concat(acc, F.array(F.struct(c["start"], c["rank"], c["kind"], c["end"])).cast(empty_type))).otherwise(acc))
-    return frame.select(*keep, base_col, F.when(F.size(proposed) > 0, F.array_sort(merged)).otherwise(F.col(base_col)).alias(spans_col))
+    return frame.select(*keep, base_col, F.when(F.size(proposed) > 0, settled(F.col(base_col), F.col(proposed))).otherwise(F.col(base_col)).alias(spans_col))
+
+
+SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+
+
+def clusters(spans: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body(first, size) for each run of overlapping spans, places in `spans`, which are
+    ordered by start. A run begins where as many spans have ended as began before."""
+
+    def runs(ends: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(spans) - 1)
+        firsts = F.filter(places, lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(ends, i - 1)))
+        return let(firsts, lambda f: F.transform(f, lambda at, j: body(at, F.coalesce(F.get(f, j + 1), F.size(spans)) - at)))
 
+    return let(F.array_sort(F.transform(spans, lambda s: s["end"])), runs)
 
-empty_type = "array<struct<start:int,rank:int,kind:string,end:int>>"
+
+def settled(base: Column, proposed: Column) -> Column:
+    """The base spans and, best first, the proposed ones (worse, start, rank, kind, end)
+    that overlap nothing taken before, in order. Every run of overlapping spans is settled
+    by itself, so the work follows the spans and not their square."""
+    every = F.array_sort(F.concat(F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(None).cast("double").alias("worse"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))), F.transform(proposed, lambda s: F.struct(s["start"].alias("start"), s["worse"].alias("worse"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))))
+    plain = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))
+
+    def one_run(spans: Column) -> Callable[[Column, Column], Column]:
+        def run(first: Column, size: Column) -> Column:
+            return F.when(size == 1, F.transform(F.slice(spans, first + 1, size), plain)).otherwise(let(F.slice(spans, first + 1, size), best_first))
+
+        return run
+
+    def best_first(run: Column) -> Column:
+        fixed = F.transform(F.filter(run, lambda s: s["worse"].isNull()), plain).cast(SPANS)
+        order = F.array_sort(F.transform(F.filter(run, lambda s: s["worse"].isNotNull()), lambda s: F.struct(s["worse"], s["start"], s["rank"], s["kind"], s["end"])))
+        free = lambda acc, c: ~F.exists(acc, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+        return F.aggregate(order, fixed, lambda acc, c: F.when(free(acc, c), F.concat(acc, F.array(plain(c)).cast(SPANS))).otherwise(acc))
+
+    return let(every, lambda spans: F.array_sort(F.flatten(clusters(spans, one_run(spans)))))
 
 
 def listed(spans: str) -> Column:
@@ -339,22 +389,35 @@ def listed(spans: str) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each run of overlapping spans replaced by its first one's kind."""
-    kind = "array<struct<start:int,kind:string,end:int>>"
+    """The text with each run of overlapping spans replaced by its first one's kind. What
+    lies between is put together from pieces of the text, so no look walks through all of it."""
 
-    def joined(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fresh_one = F.concat(acc, F.array(F.struct(s["start"], s["kind"], s["end"])).cast(kind))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"], last["kind"], F.greatest(last["end"], s["end"]))).cast(kind))
-        return F.when(F.size(acc) == 0, fresh_one).when(s["start"] >= last["end"], fresh_one).otherwise(grown)
+    def runs(ordered: Column) -> Column:
+        def run(first: Column, size: Column) -> Column:
+            return F.struct(F.get(ordered, first)["start"].alias("start"), F.get(ordered, first)["kind"].alias("kind"), F.array_max(F.transform(F.slice(ordered, first + 1, size), lambda s: s["end"])).alias("end"))
 
-    runs = F.aggregate(spans, F.array().cast(kind), joined)
+        return clusters(ordered, run)
 
     def written(r: Column) -> Column:
-        parts = F.transform(r, lambda s, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.get(r, i - 1)["end"] + 1), s["start"] - F.when(i == 0, 0).otherwise(F.get(r, i - 1)["end"])), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(r, -1)["end"] + 1, F.length(text)))
+        cells = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CELL}}}"), F.lit(0))
+        begins = F.transform(r, lambda s, i: F.when(i == 0, 0).otherwise(F.get(r, i - 1)["end"]))
+        last = F.element_at(r, -1)["end"]
+
+        def parts(c: Column, at: Column) -> Column:
+            kinds = F.transform(r, lambda s, i: F.concat(between(c, F.get(at, i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.concat(F.array_join(kinds, ""), between(c, last, F.lit(None).cast("int")))
+
+        return let(cells, lambda c: let(begins, lambda at: parts(c, at)))
+
+    return F.when(F.size(spans) > 0, let(let(F.array_sort(spans), runs), written)).otherwise(text)
+
 
-    return F.when(F.size(spans) > 0, let(runs, written)).otherwise(text)
+def between(cells: Column, start: Column, end: Column) -> Column:
+    """The text from start to end (to its end, if null), given in pieces of CELL code points."""
+    k = F.floor(start / CELL).cast("int")
+    upto = F.coalesce(end, F.size(cells) * CELL)
+    some = F.slice(cells, k + 1, F.floor((upto - 1) / CELL).cast("int") - k + 1)
+    return F.when(upto > start, F.substring(F.array_join(some, ""), start - k * CELL + 1, upto - start)).otherwise(F.lit(""))
 
 
 def pii_digests(docs: DataFrame) -> DataFrame:

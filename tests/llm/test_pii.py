@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -108,3 +109,41 @@ def test_model_holds_on_examples_it_has_not_seen(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.pii_digests(docs).count() == 0
+
+
+def test_settling_equals_plain_greed(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        span = lambda: (lambda a: (a, a + rng.randint(1, 9)))(rng.randint(0, 70))
+        base_ = sorted((a, rng.randint(0, 3), "k", e) for a, e in (span() for _ in range(rng.randint(0, 6))))
+        proposed = sorted((-round(rng.random(), 1), a, rng.randint(0, 5), "k", e) for a, e in (span() for _ in range(rng.randint(1, 20))))
+        rows.append((i, base_, proposed))
+    kind = "array<struct<start:int,rank:int,kind:string,end:int>>"
+    frame = spark.createDataFrame(rows, f"i int, b {kind}, p array<struct<worse:double,start:int,rank:int,kind:string,end:int>>")
+    got = {r["i"]: [tuple(x) for x in r["s"]] for r in frame.select("i", pii.settled(F.col("b"), F.col("p")).alias("s")).collect()}
+    for i, base_, proposed in rows:
+        taken = list(base_)
+        for _, a, rank, k, e in sorted(proposed):
+            if not any(s < e and a < t for s, _, _, t in taken):
+                taken.append((a, rank, k, e))
+        assert got[i] == sorted(taken)
+
+
+def test_many_spans_in_one_text(spark):
+    rng = random.Random(5)
+    pieces = ["call (212) 555-%04d é🙂 " % rng.randint(0, 9999) + rng.choice(["", "a@b.co ", "x " * 40]) for _ in range(20_000)]
+    text = "".join(pieces)
+    began = time.perf_counter()
+    row = pii.find_pii(spark.createDataFrame([(text,)], "text string")).select("spans", pii.redact(F.col("text"), F.col("spans")).alias("out")).first()
+    assert time.perf_counter() - began < 100 and len(row["spans"]) > 20_000
+    want, at = "", 0
+    for s, _, kind, e in row["spans"]:
+        want, at = want + text[at:s] + f"[{kind.upper()}]", e
+    assert row["out"] == want + text[at:] and "555" not in row["out"]
+
+
+def test_shortened_addresses(spark):
+    rows = ["host fe80::1 is up", "IP ::1 today.", "server 2001:db8::ff00:42, please", "at 12:30 or 9:15", "a::b std::vector"]
+    out = [r["spans"] for r in pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "i int, text string")).orderBy("i").collect()]
+    assert [[rows[i][s["start"] : s["end"]] for s in x] for i, x in enumerate(out)][:4] == [["fe80::1"], ["::1"], ["2001:db8::ff00:42"], []]

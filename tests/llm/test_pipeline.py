@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from nearfold.llm import jaccard, mixing, pii, quality
+from nearfold.llm import jaccard, quality
 from nearfold.llm.common import crc_remainder, table
 from tests.llm.test_jaccard import brute
 from tests.llm.test_mixing import by_hand
@@ -101,4 +101,16 @@ def test_one_of_each_with_repeated_rows_and_null_ids(spark):
     out = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()), key=str)
     assert out == sorted([(2, text + " end"), (4, "other words here and there"), (None, "all alone"), (9, ""), (9, None)], key=str)
     assert jaccard.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    assert mixing and pii
+
+
+def test_columns_of_any_name_pass_through(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    names = ["size", "pattern", "target", "taken", "source_size", "score", "predicted", "base", "spans", "redacted", "_score", "_spans", "document", "col", "_copy", "gone"]
+    rows = [(1, words + " a@b.co", "en", "s", 5, *range(99, 99 + len(names))), (2, None, None, None, None, *range(len(names))), (3, "", "de", "s", 0, *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert tuple(r)[5:] == tuple(rows[r["doc_id"] - 1][5:]), name
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -385,8 +385,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = classes_linked(sets, num, den).join(sets.select("node", "class"), "node").select("class", F.col("component").cast("string").alias("component"))
 
     firsts = every.where("n > 0").groupBy("class").agg(F.min("id").alias("first"))
-    firsts = firsts.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
+    # Written, as are the sums by component, so that a component of many classes is split
+    # where they are joined.
+    firsts = stored(firsts.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class")), "firsts")
+    least = stored(firsts.groupBy("component").agg(F.min("first").alias("component_id")), "least")
     named = firsts.join(least, "component").select("class", "component", "component_id")
     # The largest classes are hot keys of this join; the adaptive skew join splits them.
     out = every.join(named, "class", "left")
@@ -398,7 +400,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null id, if none has one; among equals, of the least class). Empty rows all stay."""
     found = stored(near_duplicates(docs, id_col, text_col, num, den, size), "found")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "class"))
-    kept = found.where("n_shingles > 0").groupBy("component").agg(first.alias("f")).select("component", F.col("f.id").alias("kept_id"), F.col("f.class").alias("kept_class"))
+    kept = stored(found.where("n_shingles > 0").groupBy("component").agg(first.alias("f")).select("component", F.col("f.id").alias("kept_id"), F.col("f.class").alias("kept_class")), "kept")
     judged = found.join(kept, "component", "left").withColumn("stays", (F.col("n_shingles") == 0) | (F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("class") == F.col("kept_class"))))
     by_id = stored(judged.groupBy("id").agg(F.count("*").alias("rows"), F.max("stays").alias("stays")), "by_id")
 

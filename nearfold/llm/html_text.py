@@ -1,9 +1,11 @@
 """Main text of web pages from flat text blocks.
 
 A page is cut into flat blocks at block-level tags. Each block is described by its word
-count and link density, those of its neighbours, and what the nearest telling ancestor
-says (article or boilerplate); a decision tree, trained on the small labelled table that
-`labelled_pages` lays out, keeps or drops it. Character references are decoded, white
+count and link density, those of its neighbours, the kind of its tag and of the region in
+which it lies, and whether an element around it is called by one of a few names of
+boilerplate, as whole words of class, id or role; a decision tree, trained on the small
+labelled table that `labelled_pages` lays out, keeps or drops it. On pages without an
+article element and without such names, word counts and link densities decide. Character references are decoded, white
 space inside a block becomes one space, kept blocks are joined by an empty line.
 
 Null and empty html give an empty text. Broken markup is read as far as it goes: stray
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -43,31 +46,40 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a start tag of the same kind closes.
 CLOSES_ITSELF = frozenset("p li dt dd option tr td th".split())
 BAD_TAGS = frozenset("nav footer aside form header menu dialog button label fieldset noscript".split())
+#: Of these, those in which an article element is none.
+CLOSED_TAGS = frozenset("nav footer aside menu button label".split())
 GOOD_TAGS = frozenset(("article", "main"))
-BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed|s)?|promos?|promotion|sidebar|side|aside|nav|navbar|navigation|menu|footer|foot|header|masthead|topbar|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommended|comments?|commentlist|disqus|responses?|respond|repl(?:y|ies)|login|signup|search|searchbox|widgets?|toolbar|pagination|pager|copyright|legal|disclaimer|skip|tags|contentinfo|complementary|hidden)(?:$|[\s_-])", re.IGNORECASE)
-GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body|text)(?:$|[\s_-])", re.IGNORECASE)
-
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "says", "heading", "item")
-
-
-def says(tag: str, attributes: str, above: int, in_article: bool) -> int:
-    """-1 for boilerplate, 1 for an article, else what the ancestors said."""
-    if tag == "header" and in_article:
-        return above
-    if tag in BAD_TAGS:
-        return -1
-    if tag in GOOD_TAGS:
-        return 1
-    if attributes:
-        for name, a, b, c in ATTRIBUTE.findall(attributes):
-            value = a or b or c
-            if name.lower() == "hidden" or BAD_NAMES.search(value):
-                return -1
-            if GOOD_NAMES.search(value):
-                return 1 if above >= 0 else above
+PARAGRAPHS = frozenset("p blockquote pre td dd figcaption".split())
+NAME = re.compile(
+    r"(?:[a-z0-9]+[-_]{1,2})?(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed|s)?|promos?|promotion|sidebar|nav|navbar|navigation|menu|footer|masthead|topbar|breadcrumbs?|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|login|signup|search|searchbox|widgets?|toolbar|pagination|pager|copyright|disclaimer|contentinfo|complementary)"
+    r"(?:[-_]{1,2}(?:ads?|bar|banner|block|body|box|area|container|content|form|inner|item|links?|list|menu|notice|section|slot|text|unit|wrapper|[0-9]+))?",
+    re.IGNORECASE,
+)
+
+#: Regions: a boilerplate tag, outside the page's article, a page without one, the article.
+BOILERPLATE, OUTSIDE, ANY, ARTICLE = -1, 0, 1, 2
+
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "region", "named", "paragraph", "heading", "item")
+
+
+def region_of(tag: str, above: int) -> int:
+    if tag in GOOD_TAGS and above != BOILERPLATE - 1:
+        return ARTICLE
+    if tag in CLOSED_TAGS:
+        return BOILERPLATE - 1  # no article below
+    if tag in BAD_TAGS and (tag != "header" or above != ARTICLE):
+        return min(BOILERPLATE, above)
     return above
 
 
+def named(attributes: str) -> bool:
+    """Whether an element is hidden or called by a name of boilerplate."""
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        if name.lower() == "hidden" or any(NAME.fullmatch(x) for x in (a or b or c).split()):
+            return True
+    return False
+
+
 def element_end(page: str, tag: str, at: int, unclosed: set[str]) -> int | None:
     """Where the element whose start tag ends at `at` is over; None if nothing ends it.
     `unclosed` remembers tags whose end was sought in vain."""
@@ -100,10 +112,12 @@ def head_end(page: str, at: int, unclosed: set[str]) -> int:
     return at
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
-    """(text, words, words in links, says, heading, item) of each flat block with text."""
-    out: list[tuple[str, int, int, int, int, int]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, says, inside an article
+def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int, int]]:
+    """(text, words, words in links, region, named, paragraph, heading, item) of each flat
+    block with text."""
+    out: list[tuple] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, region, named
+    opened: Counter[str] = Counter()  # tags in the stack
     parts: list[tuple[str, bool]] = []
     at, links, tag_pattern, end = 0, 0, TAG, len(page)
     unclosed: set[str] = set()
@@ -113,10 +127,15 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
             text = " ".join("".join(p for p, _ in parts).split())
             if text:
                 linked = sum(len(p.split()) for p, link in parts if link)
-                tags = [t for t, _, _ in stack]
-                out.append((text, text.count(" ") + 1, linked, stack[-1][1] if stack else 0, int(any(t in HEADINGS for t in tags)), int("li" in tags)))
+                tag, region, name = stack[-1] if stack else ("", ANY, False)
+                out.append((text, text.count(" ") + 1, linked, max(region, BOILERPLATE), int(name), int(tag in PARAGRAPHS), int(any(opened[h] for h in HEADINGS)), int(opened["li"] > 0)))
             parts.clear()
 
+    def close(upto: int) -> None:
+        for tag, _, _ in stack[upto:]:
+            opened[tag] -= 1
+        del stack[upto:]
+
     while at < end:
         m = tag_pattern.search(page, at)
         upto = m.start() if m else end
@@ -144,9 +163,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
             if tag in INLINE:
                 continue
             flush()
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if found is not None:
-                del stack[found:]
+            if opened[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in INLINE:
             if tag == "br":
@@ -162,18 +180,21 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         if tag in VOID:
             continue
         if tag in CLOSES_ITSELF:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] not in INLINE and stack[i][0] not in CLOSES_ITSELF:
                     break
         elif stack and stack[-1][0] == "p":
-            stack.pop()  # no block lies inside a paragraph
+            close(len(stack) - 1)  # no block lies inside a paragraph
         links = 0 if tag not in INLINE else links
-        above, article = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-        stack.append((tag, says(tag, m[3], above, article), article or tag in GOOD_TAGS))
+        _, above, name = stack[-1] if stack else ("", ANY, False)
+        stack.append((tag, region_of(tag, above), name or tag not in ("html", "body") and named(m[3])))
+        opened[tag] += 1
     flush()
+    if any(b[3] == ARTICLE for b in out):
+        out = [(*b[:3], OUTSIDE, *b[4:]) if b[3] == ANY else b for b in out]
     return out
 
 
@@ -187,7 +208,7 @@ def described(found: Sequence[tuple]) -> np.ndarray:
         x[:, 0], x[:, 1] = words, density
         x[1:, 2], x[1:, 3] = words[:-1], density[:-1]
         x[:-1, 4], x[:-1, 5] = words[1:], density[1:]
-        x[:, 6:] = [b[3:6] for b in found]
+        x[:, 6:] = [b[3:] for b in found]
     return x
 
 
@@ -204,34 +225,68 @@ def labelled_pages(seed: int = 5) -> list[list[tuple[int, str]]]:
     def links(n: int) -> str:
         return "".join(f'<li><a href="/x">{words(1, 3)}</a></li>' for _ in range(n))
 
+    def boilerplate(kind: str, name: str, low: int, high: int) -> tuple[int, str]:
+        """A menu, a teaser with a link, or plain words."""
+        open_ = f'<div class="{name}">' if name else "<div>"
+        if kind == "menu":
+            return 0, f"{open_}<ul>{links(rng.randint(3, 8))}</ul></div>"
+        if kind == "teaser":
+            return 0, f'{open_}<a href="/t">{words(2, 9)}</a> {words(1, 5)}</div>'
+        return 0, f"{open_}{words(low, high)}</div>" if rng.random() < 0.5 or not name else f"{open_}<h3>{words(1, 3)}</h3><p>{words(low, high)}</p></div>"
+
+    def article() -> list[tuple[int, str]]:
+        out = [(1, f"<h1>{words(2, 10)}</h1>")]
+        for _ in range(rng.randint(1, 10)):
+            low, high = rng.choice(((1, 3), (4, 12), (8, 30), (30, 120), (100, 260)))
+            link = f' <a href="/y">{words(1, 2)}</a> ' if rng.random() < 0.2 and low > 7 else ""
+            out.append((1, f"<p>{words(low, high)}{link}{words(low, high)}</p>"))
+        if rng.random() < 0.3:
+            out.insert(rng.randint(1, len(out)), (1, f"<ul><li>{words(4, 20)}</li><li>{words(4, 20)}</li></ul>"))
+        if rng.random() < 0.3:
+            out.insert(rng.randint(1, len(out)), (1, f"<h2>{words(1, 6)}</h2>"))
+        if rng.random() < 0.4:  # a paragraph of many links
+            out.insert(rng.randint(1, len(out)), (1, "<p>" + " ".join(f'{words(4, 12)} <a href="/y">{words(1, 6)}</a>' for _ in range(rng.randint(3, 6))) + "</p>"))
+        if rng.random() < 0.15:
+            out.insert(rng.randint(1, len(out)), (1, f'<h2><a href="/h">{words(2, 6)}</a></h2>'))
+        return out
+
+    def anywhere(into: list, *parts: tuple[int, str]) -> list:
+        for part in parts:
+            into.insert(rng.randint(0, len(into)), part)
+        return into
+
+    names = ("ad", "banner-ad", "cookie-notice", "promo", "comments", "sidebar", "share", "related", "newsletter")
+    tags = ("nav", "aside", "footer", "form", "header")
     pages = []
-    for i in range(48):
-        main = [(1, f"<h1>{words(2, 10)}</h1>")]
-        for _ in range(rng.randint(1, 9)):
-            low, high = rng.choice(((1, 3), (8, 30), (30, 120)))
-            link = f' <a href="/y">{words(1, 2)}</a> ' if rng.random() < 0.2 and low > 3 else ""
-            main.append((1, f"<p>{words(low, high)}{link}{words(low, high)}</p>"))
-        if i % 4 == 1:
-            main.append((1, f"<ul><li>{words(4, 20)}</li><li>{words(4, 20)}</li></ul>"))
-        top = [(0, f"<nav><ul>{links(rng.randint(3, 8))}</ul></nav>"), (0, f'<div class="{rng.choice(("ad", "banner ad", "cookie-notice", "promo"))}">{words(3, 40)}</div>')]
-        if i % 3 == 0:
-            top.insert(0, (0, f"<header><p>{words(1, 6)}</p></header>"))
-        end = [(0, f"<footer>{words(3, 20)}</footer>")]
-        if i % 3 == 1:
-            end.insert(0, (0, f'<section class="comments"><p>{words(5, 60)}</p><p>{words(5, 60)}</p></section>'))
-        if i % 3 == 2:
-            end.insert(0, (0, f"<aside><p>{words(5, 50)}</p><ul>{links(4)}</ul></aside>"))
-        if i % 5 == 0:
-            end.insert(0, (0, f"<form><p>{words(2, 15)}</p><button>{words(1, 2)}</button></form>"))
-        if i % 4 == 3:  # no telling element: the counts alone decide
-            main = [m for m in main if len(m[1].split()) > 8]
-            top = [(0, f"<div><ul>{links(5)}</ul></div>"), (0, f'<div><a href="/">{words(1, 4)}</a> {words(0, 1)}</div>')]
-            end = [(0, f'<div><a href="/">{words(1, 3)}</a> <a href="/">{words(1, 3)}</a></div>'), (0, f"<div>{words(1, 4)}</div>")]
+    for i in range(240):
+        main = article()
+        if i % 3 == 0:  # no telling element: counts, densities and neighbours alone decide
+            main = [m for m in main if len(m[1].split()) > 12 or m[1].startswith("<h1")]
+            main = [(1, m[1].replace("<p>", "<div>").replace("</p>", "</div>")) if i % 2 else m for m in main]
+            # Short words that belong to menus stand next to links, at either end of the page.
+            top = [boilerplate("menu", "", 1, 4), *(boilerplate(rng.choice(("menu", "teaser", "words")), "", 1, 8) for _ in range(rng.randint(0, 2))), boilerplate(rng.choice(("menu", "teaser")), "", 1, 4)]
+            bottom = (0, f'<div><a href="/">{words(1, 3)}</a> <a href="/">{words(1, 3)}</a></div>')
+            end = [boilerplate(rng.choice(("menu", "teaser")), "", 1, 4), *anywhere([bottom], *(boilerplate("words", "", 1, 8) for _ in range(rng.randint(0, 2))))]
+            top, end = (x if rng.random() < 0.8 else [] for x in (top, end))
+            if i % 4 == 0:
+                main.insert(len(main) // 2 + 1, boilerplate("menu", "", 1, 4))
             pages.append([*top, *main, *end])
-        else:
-            open_, close = rng.choice((("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ("<article>", "</article>")))
-            inner = [(0, f'<div class="ad">{words(3, 20)}</div>')] if i % 6 == 0 else []
-            pages.append([*top, (1, open_ + main[0][1]), *main[1:], *inner, (1, close), *end])
+            continue
+        # Boilerplate of all lengths stands in front of paragraphs of all lengths.
+        inside = [boilerplate(rng.choice(("menu", "teaser", "words", "words")), rng.choice(names), *rng.choice(((1, 6), (5, 30), (30, 90)))) for _ in range(rng.randint(0, 3))]
+        inside += [(0, f"<{t}><p>{words(*rng.choice(((1, 6), (5, 40))))}</p></{t}>") for t in tags[:4] if rng.random() < 0.25]
+        if rng.random() < 0.3:
+            inside.append((0, f"<ul>{links(rng.randint(2, 6))}</ul>"))
+        top = [(0, f"<{t}><p>{words(*rng.choice(((1, 6), (5, 40))))}</p><ul>{links(4)}</ul></{t}>") for t in tags if rng.random() < 0.5]
+        end = [(0, f"<footer>{words(3, 20)}</footer>")]
+        if rng.random() < 0.3:
+            pages.append([(body[0][0], "<article>" + body[0][1]), *body[1:]] if (body := anywhere(article(), *inside)) else [])
+            continue
+        for part in (top, end):
+            anywhere(part, *(boilerplate(rng.choice(("menu", "teaser", "words")), rng.choice(("", *names)), *rng.choice(((1, 6), (5, 30), (30, 90)))) for _ in range(rng.randint(0, 2))))
+        open_, close = rng.choice((("<article>", "</article>"), ("<main>", "</main>"), ('<article class="post side-by-side">', "</article>")))
+        body = anywhere(main, *inside)
+        pages.append([*top, (body[0][0], open_ + body[0][1]), *body[1:], (1, close), *end])
     return pages
 
 
@@ -256,7 +311,7 @@ def labelled_table(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
 Tree = float | tuple
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 3) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 3) -> Tree:
     """A classification tree by Gini impurity; a leaf is the share of main text."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:

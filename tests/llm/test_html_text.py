@@ -1,5 +1,7 @@
 import html
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -82,3 +84,56 @@ def test_opaque_elements_without_end_tags_do_not_swallow_the_page():
         assert H.main_text(f"<article><p>one</p><{tag}><p>two</p></article>", tree) == "one\n\ntwo"
         assert H.main_text(f"<article><p>one</p><{tag}>x</{tag}><p>two</p></article>", tree) == "one\n\ntwo"
     assert H.main_text("<article><p>one" + "<svg><template>" * 50_000, tree) == "one"
+
+
+def test_tree_splits_on_density_and_neighbours():
+    def splits(tree):
+        return set() if isinstance(tree, float) else {H.FEATURES[tree[0]]} | splits(tree[2]) | splits(tree[3])
+
+    used = splits(H.trained())
+    assert "link_density" in used and used & {"words_before", "link_density_before", "words_after", "link_density_after"}
+    # Layouts without telling names or elements, which the tree has not seen.
+    x, y = H.labelled_table(91)
+    plain = (x[:, H.FEATURES.index("region")] == H.ANY) & (x[:, H.FEATURES.index("named")] == 0)
+    assert plain.sum() > 500 and ((H.score(H.trained(), x[plain]) >= 0.5) == (y[plain] > 0)).mean() > 0.97
+
+
+@pytest.mark.parametrize("kind", BOILERPLATE)
+@pytest.mark.parametrize("words", [20, 60, 200])
+def test_boilerplate_in_front_of_paragraphs(kind, words):
+    article = [" ".join(["word"] * 40), " ".join(["next"] * words)]
+    for before in (f"<p>{article[0]}</p>{BOILERPLATE[kind]}<p>{article[1]}</p>", f"<p>{article[0]}</p><p>{article[1]}</p>"):
+        if kind != "header" or before.count("<") == 4:
+            assert H.main_text(f"<article>{before}</article>", H.trained()) == "\n\n".join(article)
+        assert H.main_text(f"{BOILERPLATE[kind]}<article><p>{article[0]}</p><p>{article[1]}</p></article>", H.trained()) == "\n\n".join(article)
+
+
+def test_names_are_whole_words():
+    text = " ".join(["word"] * 40)
+    for name in ("side-by-side", "adventure", "navy", "comment_policy_story", "text"):
+        assert H.main_text(f'<article><div class="{name}"><p>{text}</p></div></article>', H.trained()) == text
+    for name in ("ad", "x ad-slot", "COOKIE-notice", "user-comments"):
+        assert H.main_text(f'<article><p>{text}</p><div id="{name}"><p>{text}</p></div><p>{text}</p></article>', H.trained()) == f"{text}\n\n{text}"
+
+
+def test_nesting_takes_linear_time():
+    began = time.perf_counter()
+    for part in ("<div>x", "<li>x", "<td>x<div>", "</nav>x<div>"):
+        assert H.blocks(part * 30_000)
+    assert time.perf_counter() - began < 60
+
+
+def test_pages_of_the_table_equal_a_plain_reading():
+    """Brute force for pages of this layout: the paragraphs of the one article element."""
+    import duckdb
+
+    for (page_,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        inside = re.search(r"<article>(.*)</article>", page_, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", inside)]
+        assert H.main_text(page_, H.trained()) == "\n\n".join(p for p in parts if p)
+
+
+def test_paragraphs_of_many_links_stay():
+    linked = " ".join("some words of prose <a href='/x'>and two</a>" for _ in range(8))
+    text = " ".join(["some words of prose and two"] * 8)
+    assert H.main_text(f"<article><p>{linked}</p><p>{text}</p></article>", H.trained()) == f"{text}\n\n{text}"

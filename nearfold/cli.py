@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import argparse
 import os
+import shlex
+import subprocess
 import sys
 from collections.abc import Sequence
+from contextlib import nullcontext
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from nearfold.functions.similarity import hash_hex
 from nearfold.operators.keep import DEFAULT_KEEP, preferences
 from nearfold.plans import apply, dedup
+from nearfold.progress import reported
 from nearfold.sources.images import list_files, read_images, scan_list
 from nearfold.tables import forget, stored
 
@@ -37,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
             "action": lambda: p.add_argument("--action", "-a", default=dedup.Action.MOVE_TO_TRASH.value, help=f"One of {', '.join(a.value for a in dedup.Action)} [MoveToTrash]."),
             "yes": lambda: p.add_argument("--yes", "-y", action="store_true", help="Do not wait for confirmation."),
             "extensions": lambda: p.add_argument("--extensions", "-e", nargs="+", action="extend", help=f"Extensions to read [{' '.join(dedup.DEFAULT_EXTENSIONS)}]."),
+            "viewer": lambda: p.add_argument("--viewer", help="Command that shows an image before it is asked for."),
             "threads": lambda: p.add_argument("--threads", "-t", type=int, default=os.cpu_count(), help="Threads of a local session [number of CPUs]."),
         }
         for option in options:
@@ -44,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     common = ("bar", "recursive", "keep", "extensions", "threads")
-    verb("dedup", "Resolve duplicates in a folder.", "path", *common, "action", "yes")
+    verb("dedup", "Resolve duplicates in a folder.", "path", *common, "action", "yes", "viewer")
     verb("dedup-copy", "Copy images that the destination has no duplicate of.", "source", "destination", *common, "yes")
     verb("dedup-patch", "Overwrite destination images with better duplicates.", "source", "destination", *common)
     verb("compare", "Compare images with each other.", "threads").add_argument("--images", "-i", nargs="+", action="extend", required=True, help="Images, two at least.")
@@ -65,6 +70,23 @@ def ask(text: str) -> None:
     input(f"{text}\nPress ENTER to go on.")
 
 
+def viewer(command: str | None):
+    """Starts the command with a path; a command that fails is no reason to stop."""
+
+    def show(path: str) -> None:
+        try:
+            subprocess.Popen([*shlex.split(command), path], stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+        except OSError as error:
+            print(f"nearfold: {path} cannot be shown: {error}", file=sys.stderr)
+
+    return show if command else None
+
+
+def tell_images(images) -> None:
+    for r in images.orderBy("id").select("*", hash_hex(F.col("hash")).alias("hex")).toLocalIterator():
+        print(f"{r['physical_path']}: hash {r['hex']}, size {r['size']}, resolution {r['resolution']}, grayscale {r['is_grayscale']}")
+
+
 def run(args: argparse.Namespace) -> None:
     if args.verb == "compare" and len(args.images) < 2:
         raise ValueError("at least two images are needed")
@@ -76,16 +98,21 @@ def run(args: argparse.Namespace) -> None:
 
     def scan(folder: str, links: bool, first_id: int = 0):
         paths = list_files(folder, args.recursive, extensions, links)
+        if args.verbose:
+            print(f"{folder}: {len(paths)} files with one of {', '.join(extensions)}" + (f"; duplicates from {bar}% similarity on." if bar else "."))
         # Hashed once, read by every step of the plan.
-        return stored(read_images(spark, paths, first_id), "scan"), first_id + len(paths)
+        with reported(spark, lambda done: print(f"{done:.0%} read", file=sys.stderr)) if args.verbose else nullcontext():
+            images = stored(read_images(spark, paths, first_id), "scan")
+        if args.verbose:
+            tell_images(images)
+        return images, first_id + len(paths)
 
     if args.verb == "compare":
         images = stored(scan_list(spark, args.images), "scan")
         if images.count() < len(args.images):
             raise ValueError("some of the images cannot be decoded")
         if args.verbose:
-            for r in images.orderBy("id").select("*", hash_hex(F.col("hash")).alias("hex")).collect():
-                print(f"{r['physical_path']}: hash {r['hex']}, size {r['size']}, resolution {r['resolution']}, grayscale {r['is_grayscale']}")
+            tell_images(images)
         for r in dedup.compare(images).orderBy("id_a", "id_b").toLocalIterator():
             print(f"Similarity of {args.images[r['id_a']]} and {args.images[r['id_b']]}: {r['similarity']:.2%}")
     elif args.verb == "dup-top":
@@ -99,7 +126,11 @@ def run(args: argparse.Namespace) -> None:
         root = os.path.abspath(args.path)
         images, _ = scan(root, links=False)
         plan = stored(dedup.dedup_plan(images, bar, keep, args.action, root), "plan")
-        print(f"{images.count()} images, {plan.count()} duplicates, {apply.apply_dedup(plan, confirm)} resolved.")
+        asked = dedup.described(plan, images) if confirm else plan
+        found = plan.count()
+        print(f"{images.count()} images, {found} duplicates, {apply.apply_dedup(asked, confirm, viewer(args.viewer))} resolved.")
+        if found and dedup.action_of(args.action) is dedup.Action.NOTHING:
+            print("nearfold: nothing was done to the duplicates; --action says what to do.", file=sys.stderr)
     else:
         source, destination = os.path.abspath(args.source), os.path.abspath(args.destination)
         a, n = scan(source, links=True)
@@ -110,15 +141,21 @@ def run(args: argparse.Namespace) -> None:
             r = dedup.copy_summary(plan, a).first()
             print(f"{r['images']} images in {r['groups']} groups: {copied} copied, {r['skipped']} skipped.")
         else:
-            plan = stored(dedup.patch_plan(a, b, bar, keep), "plan")
-            print(f"{apply.apply_patch(plan)} images overwritten.")
-    forget(spark)
+            grouped = dedup.patch_groups(a, b, bar)
+            plan = stored(dedup.patch_plan(a, b, bar, keep, grouped), "plan")
+            r = dedup.patch_summary(a, b, grouped, plan).first()
+            print(f"{r['images']} images, {r['grouped_images']} of them in {r['groups']} groups: {apply.apply_patch(plan)} images overwritten.")
 
 
 def main(argv: Sequence[str] | None = None) -> int:
     """0 if all went well, 1 otherwise."""
     try:
-        run(parser().parse_args(argv))
+        try:
+            run(parser().parse_args(argv))
+        finally:
+            active = SparkSession.getActiveSession()
+            if active:
+                forget(active)
     except SystemExit as end:
         return 0 if not end.code else 1
     except (ValueError, OSError) as error:

@@ -67,19 +67,13 @@ def _over(images: pd.DataFrame, f: Callable[[np.ndarray], object]) -> list:
     return [f(pixels(*row)) for row in zip(*columns, strict=True)]
 
 
-def hash_of(image: Column, hash_fn: ImageHash = perceptual_hash) -> Column:
-    """The hash of an image column. hash_fn: pixels to a signed 64-bit number."""
-
-    @F.pandas_udf(T.LongType())
-    def run(images: pd.DataFrame) -> pd.Series:
-        return pd.Series(_over(images, hash_fn), dtype="int64")
-
-    return run(image)
-
-
-def grayscale_of(image: Column) -> Column:
-    @F.pandas_udf(T.BooleanType())
-    def run(images: pd.DataFrame) -> pd.Series:
-        return pd.Series(_over(images, is_grayscale), dtype="bool")
+def looked_at(image: Column, hash_fn: ImageHash = perceptual_hash) -> Column:
+    """hash and is_grayscale of an image column, in one pass over its pixels. hash_fn:
+    pixels to a signed 64-bit number."""
+
+    @F.pandas_udf(T.StructType([T.StructField("hash", T.LongType()), T.StructField("is_grayscale", T.BooleanType())]))
+    def run(images: pd.DataFrame) -> pd.DataFrame:
+        found = _over(images, lambda x: (hash_fn(x), is_grayscale(x)))
+        return pd.DataFrame({"hash": pd.Series([h for h, _ in found], dtype="int64"), "is_grayscale": pd.Series([g for _, g in found], dtype="bool")})
 
     return run(image)

@@ -17,8 +17,11 @@ def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
         return F.conv(F.substring("m", at, 8), 16, 10).cast("long")
 
     hashed = halves.select(key, F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("h"))
-    votes = hashed.groupBy(key).agg(*(F.sum(F.shiftrightunsigned("h", 63 - i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(64)))
+    # Two counters of 32 bits in each sum: how many tokens have bit i, and bit i + 32.
+    both = F.lit((1 << 32) | 1)
+    votes = hashed.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(both)).alias(f"s{i}") for i in range(32)))
     bits = F.lit(0).cast("long")
-    for i in range(64):
-        bits = bits.bitwiseOR(F.shiftleft((F.col(f"b{i}") > 0).cast("long"), 63 - i))
+    for i in range(32):
+        for at, ones in ((i, F.col(f"s{i}").bitwiseAND(F.lit((1 << 32) - 1))), (i + 32, F.shiftrightunsigned(f"s{i}", 32))):
+            bits = bits.bitwiseOR(F.shiftleft((2 * ones > F.col("n")).cast("long"), at))
     return votes.select(key, bits.alias("hash"))

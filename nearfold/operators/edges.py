@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.functions.similarity import BITS, hamming
+from nearfold.tables import stored
 
 
 @dataclass(frozen=True)
@@ -87,6 +88,8 @@ def similarity_edges(images: DataFrame, k: int) -> DataFrame:
     hash is represented by its least id, linked with every other holder of the hash at
     distance 0 and with the representatives of the hashes at distance k or less."""
     reps = images.groupBy("hash").agg(F.min("id").alias("rep"))
+    if k >= 0:
+        reps = stored(reps, "hashes")  # read by every join below
     if k < 0:
         return reps.where("false").select(F.col("rep").alias("src_id"), F.col("rep").alias("dst_id"), F.lit(0).alias("dist"))
     # A hash held by a third of all images is a hot key of this join only, where the
@@ -103,7 +106,7 @@ def similarity_edges(images: DataFrame, k: int) -> DataFrame:
 def distance_histogram(images: DataFrame, k: int) -> DataFrame:
     """dist, pairs: unordered pairs of images by distance, up to k; copies count as the
     pairs that they make, without making them."""
-    holders = images.groupBy("hash").agg(F.count("*").alias("n"))
+    holders = stored(images.groupBy("hash").agg(F.count("*").alias("n")), "hashes")
     same = holders.where("n > 1").select(F.lit(0).alias("dist"), F.expr("n * (n - 1) div 2").alias("w"))
     one, two = (holders.select(F.col("hash").alias(f"hash_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     near = close_hashes(holders.select("hash"), None, k).join(one, "hash_a").join(two, "hash_b").select("dist", F.expr("n_a * n_b").alias("w"))

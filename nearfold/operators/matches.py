@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.functions.similarity import BITS, max_distance
+from nearfold.functions.similarity import BITS, hamming, max_distance
 from nearfold.operators.edges import close_hashes
+from nearfold.tables import stored
 
 
 def nearest_match(images: DataFrame, others: DataFrame, bar: int) -> DataFrame:
@@ -16,8 +19,8 @@ def nearest_match(images: DataFrame, others: DataFrame, bar: int) -> DataFrame:
     columns = images.columns
     if k < 0:
         return images.withColumns({"match_id": F.lit(None).cast("long"), "match_path": F.lit(None).cast("string"), "match_distance": F.lit(None).cast("int")})
-    holders = others.groupBy("hash").agg(F.min(F.struct(F.col("physical_path").alias("path"), "id")).alias("who"))
-    mine = images.select("hash").distinct()
+    holders = stored(others.groupBy("hash").agg(F.min(F.struct(F.col("physical_path").alias("path"), "id")).alias("who")), "hashes")
+    mine = stored(images.select("hash").distinct(), "hashes")
     pairs = close_hashes(mine, holders.select("hash"), min(k, BITS - 1))
     best = pairs.join(holders.withColumnRenamed("hash", "hash_b"), "hash_b").groupBy("hash_a").agg(F.min(F.struct("dist", "who.path", "who.id")).alias("m"))
     out = images.join(best.withColumnRenamed("hash_a", "hash"), "hash", "left")
@@ -32,3 +35,10 @@ def without_match(images: DataFrame, others: DataFrame, bar: int) -> DataFrame:
 def with_match(images: DataFrame, others: DataFrame, bar: int) -> DataFrame:
     """The images that something in `others` is similar to."""
     return nearest_match(images, others, bar).where("match_id is not null").select(*images.columns)
+
+
+def range_search(images: DataFrame, query_hash: int, most: int, distance: Callable[[Column, Column], Column] = hamming) -> DataFrame:
+    """images with distance, those at distance `most` or less from a hash. distance: the
+    metric, from two hash columns; any will do, as every image is looked at once."""
+    far = distance(F.col("hash"), F.lit(query_hash).cast("long")).cast("int")
+    return images.withColumn("distance", far).where(F.col("distance") <= most)

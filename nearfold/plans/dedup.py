@@ -5,10 +5,10 @@ Nothing here touches a file; `nearfold.plans.apply` does.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.functions.paths import file_name, under
@@ -74,31 +74,50 @@ def copy_summary(plan: DataFrame, source: DataFrame) -> DataFrame:
     return source.agg(F.count("*").alias("images")).join(F.broadcast(done))  # one row each
 
 
-def patch_plan(source: DataFrame, destination: DataFrame, bar: int = DEFAULT_BAR, keep: Sequence[str | Keep] = DEFAULT_KEEP) -> DataFrame:
+def patch_groups(source: DataFrame, destination: DataFrame, bar: int = DEFAULT_BAR) -> DataFrame:
+    """The groups of both folders together, with the side of every image; stored."""
+    both = source.withColumn("side", F.lit("source")).unionByName(destination.withColumn("side", F.lit("destination")))
+    return stored(group_images(both, bar), "groups")
+
+
+def patch_plan(source: DataFrame, destination: DataFrame, bar: int = DEFAULT_BAR, keep: Sequence[str | Keep] = DEFAULT_KEEP, grouped: DataFrame | None = None) -> DataFrame:
     """A row for every destination image whose group's best image lies in the source:
     component_id, id, physical_path, keeper_id, keeper_path, similarity. Ids must differ
-    between source and destination."""
-    both = source.withColumn("side", F.lit("source")).unionByName(destination.withColumn("side", F.lit("destination")))
-    grouped = stored(group_images(both, bar), "groups")
+    between source and destination. grouped: what patch_groups gave, if it is known."""
+    grouped = patch_groups(source, destination, bar) if grouped is None else grouped
     best = best_of_groups(grouped, keep).where("side = 'source'").select("component_id", F.col("id").alias("keeper_id"), F.col("physical_path").alias("keeper_path"), F.col("hash").alias("_kept"))
     return grouped.where("side = 'destination'").join(best, "component_id").select("component_id", "id", "physical_path", "keeper_id", "keeper_path", ratio(hamming(F.col("hash"), F.col("_kept"))).alias("similarity"))
 
 
-def compare(images: DataFrame, most: int = 10_000) -> DataFrame:
+def patch_summary(source: DataFrame, destination: DataFrame, grouped: DataFrame, plan: DataFrame) -> DataFrame:
+    """One row: images of both folders, groups (of two or more), grouped_images, patched."""
+    images = source.select("id").unionByName(destination.select("id")).agg(F.count("*").alias("images"))
+    groups = grouped.groupBy("component_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("grouped_images"))
+    patched = plan.agg(F.count("*").alias("patched"))
+    return images.join(F.broadcast(groups)).join(F.broadcast(patched))  # one row each
+
+
+def described(plan: DataFrame, images: DataFrame) -> DataFrame:
+    """A dedup plan with resolution, size and is_grayscale of every image and, prefixed with
+    keeper_, of its keeper, group by group."""
+    details = ("resolution", "size", "is_grayscale")
+    own = images.select("id", *details)
+    keepers = images.select(F.col("id").alias("keeper_id"), *(F.col(c).alias(f"keeper_{c}") for c in details))
+    return plan.join(own, "id").join(keepers, "keeper_id").orderBy("component_id", "id")
+
+
+def compare(images: DataFrame, distance: Callable[[Column, Column], Column] = hamming) -> DataFrame:
     """id_a, id_b, path_a, path_b, similarity of every pair of an explicit list of images,
-    id_a < id_b. The list is what a user typed and its square is wanted, so there is a
-    bound on it, checked here, and with it on what is broadcast."""
-    found = images.limit(most + 1).count()
-    if found > most:
-        raise ValueError(f"more than {most} images to compare with each other")
+    id_a < id_b. All pairs are what is asked for; Spark chooses by the size of the list
+    whether one side is broadcast. distance: the metric, from two hash columns."""
     a, b = (images.select(F.col("id").alias(f"id_{x}"), F.col("physical_path").alias(f"path_{x}"), F.col("hash").alias(f"hash_{x}")) for x in "ab")
-    return a.join(F.broadcast(b), F.col("id_a") < F.col("id_b")).select("id_a", "id_b", "path_a", "path_b", ratio(hamming(F.col("hash_a"), F.col("hash_b"))).alias("similarity"))
+    return a.join(b, F.col("id_a") < F.col("id_b")).select("id_a", "id_b", "path_a", "path_b", ratio(distance(F.col("hash_a"), F.col("hash_b"))).alias("similarity"))
 
 
-def top_similar(images: DataFrame, query_hash: int, top: int = 15) -> DataFrame:
+def top_similar(images: DataFrame, query_hash: int, top: int = 15, distance: Callable[[Column, Column], Column] = hamming) -> DataFrame:
     """The `top` images most similar to a hash: physical_path, similarity; of equals, the
-    lesser path first."""
+    lesser path first. distance: the metric, from two hash columns."""
     if not -(1 << (BITS - 1)) <= query_hash < 1 << (BITS - 1):
         raise ValueError("a hash is a signed 64-bit number")
-    scored = images.select("physical_path", ratio(hamming(F.col("hash"), F.lit(query_hash).cast("long"))).alias("similarity"))
+    scored = images.select("physical_path", ratio(distance(F.col("hash"), F.lit(query_hash).cast("long"))).alias("similarity"))
     return scored.orderBy(F.desc("similarity"), "physical_path").limit(top)

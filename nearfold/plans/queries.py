@@ -11,6 +11,7 @@ from nearfold.functions.similarity import hash_hex, max_distance, percent
 from nearfold.operators import edges, groups, keep, listing, matches
 from nearfold.plans import dedup
 from nearfold.sources.tables import FOLDERS, ROTATION, listed_files, mapped_benchmark, mapped_documents
+from nearfold.tables import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +26,16 @@ def grayscale_rule(coloured: Column, resolution: Column) -> Column:
     return coloured < F.shiftright(resolution, 10)
 
 
+def images_of(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as images, hashed once for all steps of a query."""
+    return stored(mapped_documents(spark, d), "images")
+
+
+def hash_of_id(images: DataFrame, id_: int) -> int | None:
+    row = images.where(F.col("id") == id_).select("hash").first()
+    return None if row is None else row["hash"]
+
+
 def add(name: str, query: Query, sql: str) -> None:
     QUERIES[name], ORACLE_SQL[name] = query, sql
 
@@ -86,7 +97,7 @@ K = max_distance(BAR)
 
 
 def edges_query(bar: int) -> Query:
-    return lambda spark, d: edges.similarity_edges(mapped_documents(spark, d), max_distance(bar))
+    return lambda spark, d: edges.similarity_edges(images_of(spark, d), max_distance(bar))
 
 
 for _bar in (90, 96, 99, 100, 101):
@@ -103,7 +114,7 @@ SELECT a.rep, b.rep, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) FROM rep a
 
 add(
     "similarity_histogram",
-    lambda spark, d: edges.distance_histogram(mapped_documents(spark, d), max_distance(90)),
+    lambda spark, d: edges.distance_histogram(images_of(spark, d), max_distance(90)),
     f"""WITH {IMAGES_SQL}
 SELECT CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS dist, count(*) AS pairs FROM m a JOIN m b ON a.id < b.id
 WHERE bit_count(xor(a.hash, b.hash)) <= {max_distance(90)} GROUP BY 1""",
@@ -114,7 +125,7 @@ WHERE bit_count(xor(a.hash, b.hash)) <= {max_distance(90)} GROUP BY 1""",
 
 
 def grouped(spark: SparkSession, d: str, singletons: bool = False) -> DataFrame:
-    return groups.group_images(mapped_documents(spark, d), BAR, singletons)
+    return groups.group_images(images_of(spark, d), BAR, singletons)
 
 
 add(
@@ -129,7 +140,7 @@ add(
 )
 add(
     "near_dup_groups_bar90",
-    lambda spark, d: groups.group_images(mapped_documents(spark, d), 90).select("id", "component_id", "group_size"),
+    lambda spark, d: groups.group_images(images_of(spark, d), 90).select("id", "component_id", "group_size"),
     f"WITH RECURSIVE {IMAGES_SQL}, {groups_sql(max_distance(90))} SELECT id, component_id, group_size FROM g WHERE group_size > 1",
 )
 add(
@@ -163,7 +174,7 @@ FROM g JOIN best USING (component_id) WHERE g.id <> best.id"""
 
 
 def plan_query(action: dedup.Action) -> Query:
-    return lambda spark, d: dedup.dedup_plan(mapped_documents(spark, d), BAR, action=action, root=ROOT)
+    return lambda spark, d: dedup.dedup_plan(images_of(spark, d), BAR, action=action, root=ROOT)
 
 
 for _action in dedup.Action:
@@ -173,7 +184,7 @@ for _action in dedup.Action:
 
 add(
     "dedup_summary",
-    lambda spark, d: dedup.dedup_summary(mapped_documents(spark, d), BAR),
+    lambda spark, d: dedup.dedup_summary(images_of(spark, d), BAR),
     f"""WITH RECURSIVE {IMAGES_SQL}, {groups_sql(K)}
 SELECT count(*) AS images, count(DISTINCT component_id) FILTER (group_size > 1) AS groups, count(*) FILTER (group_size > 1) AS grouped_images,
   count(*) FILTER (group_size > 1) - count(DISTINCT component_id) FILTER (group_size > 1) AS duplicates FROM g""",
@@ -194,7 +205,7 @@ hit AS (
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    images = mapped_documents(spark, d)
+    images = images_of(spark, d)
     return images.where(SOURCE).drop("side"), images.where(DESTINATION).drop("side")
 
 
@@ -202,10 +213,15 @@ def copy(spark: SparkSession, d: str) -> DataFrame:
     return dedup.copy_plan(*sides(spark, d), BAR, source_root=ROOT, destination_root=TO)
 
 
+def copied(spark: SparkSession, d: str) -> DataFrame:
+    source, destination = sides(spark, d)
+    return dedup.copy_summary(dedup.copy_plan(source, destination, BAR, source_root=ROOT, destination_root=TO), source)
+
+
 add("dedup_copy_decision", copy, f"{COPY_SQL} SELECT * FROM plan")
 add(
     "dedup_copy_summary",
-    lambda spark, d: dedup.copy_summary(copy(spark, d), sides(spark, d)[0]),
+    copied,
     f"""{COPY_SQL} SELECT (SELECT count(*) FROM m WHERE {SOURCE}) AS images, count(*) AS groups,
   count(*) FILTER (decision = 'copy') AS copied, count(*) FILTER (decision = 'skip') AS skipped FROM plan""",
 )
@@ -234,8 +250,21 @@ FROM sig a JOIN sig b ON a.item_id < b.item_id""",
 
 
 def top(spark: SparkSession, d: str) -> DataFrame:
-    images = mapped_documents(spark, d)
-    return dedup.top_similar(images, images.where("id = 0").first()["hash"])
+    images = images_of(spark, d)
+    query = hash_of_id(images, 0)
+    return dedup.top_similar(images if query is not None else images.limit(0), query or 0)
+
+
+def near(spark: SparkSession, d: str) -> DataFrame:
+    images = images_of(spark, d)
+    query = hash_of_id(images, 0)
+    return matches.range_search(images if query is not None else images.limit(0), query or 0, max_distance(75)).select("id", "physical_path", "distance")
+
+
+def patched(spark: SparkSession, d: str) -> DataFrame:
+    source, destination = sides(spark, d)
+    grouped = dedup.patch_groups(source, destination, BAR)
+    return dedup.patch_summary(source, destination, grouped, dedup.patch_plan(source, destination, BAR, grouped=grouped))
 
 
 add(
@@ -244,7 +273,21 @@ add(
     f"""WITH {IMAGES_SQL} SELECT physical_path, {SIMILARITY_SQL.format(a="hash", b="(SELECT hash FROM m WHERE id = 0)")} AS similarity
 FROM m ORDER BY similarity DESC, physical_path LIMIT 15""",
 )
-add("hash_hex", lambda spark, d: mapped_documents(spark, d).select("id", hash_hex(F.col("hash")).alias("hash_hex")), f"WITH {IMAGES_SQL} SELECT id, to_hex(hash) AS hash_hex FROM m")
+add(
+    "range_search",
+    near,
+    f"""WITH {IMAGES_SQL}, d AS (SELECT id, physical_path, CAST(bit_count(xor(hash, (SELECT hash FROM m WHERE id = 0))) AS INTEGER) AS distance FROM m)
+SELECT id, physical_path, distance FROM d WHERE distance <= {max_distance(75)}""",
+)
+add(
+    "dedup_patch_summary",
+    patched,
+    f"""WITH RECURSIVE {IMAGES_SQL}, {groups_sql(K)}, {best_sql(DEFAULT_NAMES)}
+SELECT (SELECT count(*) FROM m) AS images, (SELECT count(DISTINCT component_id) FROM g WHERE group_size > 1) AS groups,
+  (SELECT count(*) FROM g WHERE group_size > 1) AS grouped_images,
+  (SELECT count(*) FROM g JOIN best USING (component_id) WHERE best.{SOURCE} AND g.{DESTINATION}) AS patched""",
+)
+add("hash_hex", lambda spark, d: images_of(spark, d).select("id", hash_hex(F.col("hash")).alias("hash_hex")), f"WITH {IMAGES_SQL} SELECT id, to_hex(hash) AS hash_hex FROM m")
 
 
 # --- Listings and pixels ------------------------------------------------------------------

@@ -15,10 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.functions.pixels import ImageHash, grayscale_of, hash_of, perceptual_hash
+from nearfold.functions.pixels import ImageHash, looked_at, perceptual_hash
 from nearfold.plans.dedup import DEFAULT_EXTENSIONS
 from nearfold.schema import MAPPED_IMAGE
-from nearfold.tables import shared_folder
+from nearfold.tables import shared_folder, small_batches
 
 #: Columns of read_images.
 COLUMNS = MAPPED_IMAGE.names
@@ -81,6 +81,7 @@ def read_images(spark: SparkSession, paths: Sequence[str], first_id: int = 0, ha
     if not paths:
         return spark.createDataFrame([], MAPPED_IMAGE)
     listed = spark.createDataFrame([(first_id + i, p) for i, p in enumerate(paths)], "id long, physical_path string")
+    small_batches(spark)
     alias = visible(spark, sorted(set(paths)))
     unique = [re.sub(r"([\\{}\[\]*?^])", r"\\\1", p) for p in alias]  # no globs
     parts = [spark.read.format("image").option("dropInvalid", True).load([f"file://{p}" for p in unique[i : i + PATHS_AT_ONCE]]) for i in range(0, len(unique), PATHS_AT_ONCE)]
@@ -94,7 +95,8 @@ def read_images(spark: SparkSession, paths: Sequence[str], first_id: int = 0, ha
     if renamed:
         real = spark.createDataFrame(list(renamed.items()), "physical_path string, _real string")
         images = images.join(real, "physical_path", "left").withColumn("physical_path", F.coalesce("_real", "physical_path")).drop("_real")
-    mapped = images.select("physical_path", hash_of(F.col("image"), hash_fn).alias("hash"), "size", (F.col("image.width").cast("long") * F.col("image.height")).alias("resolution"), "last_write_time", grayscale_of(F.col("image")).alias("is_grayscale"))
+    seen = images.select("physical_path", looked_at(F.col("image"), hash_fn).alias("_seen"), "size", (F.col("image.width").cast("long") * F.col("image.height")).alias("resolution"), "last_write_time")
+    mapped = seen.select("physical_path", "_seen.hash", "size", "resolution", "last_write_time", "_seen.is_grayscale")
     return listed.join(mapped, "physical_path").select(*COLUMNS)
 
 

@@ -36,6 +36,12 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, whatever the size of texts or images."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def steady(frame: DataFrame, label: str) -> DataFrame:
     """The frame itself if its rows come straight from files, in an order that a task that
     runs again repeats; else the frame stored."""

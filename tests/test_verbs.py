@@ -5,7 +5,10 @@ import shutil
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from nearfold import cli
+from nearfold.operators.matches import range_search
 from nearfold.plans import apply, dedup
 from nearfold.sources.images import list_files, scan_folder, scan_list
 from nearfold.streaming.copies import start
@@ -176,10 +179,34 @@ def test_free_path(tmp_path):
     assert apply.free_path(str(tmp_path / "a.png"), 7) == str(tmp_path / "a-7-1.png")
 
 
-def test_too_long_a_list_to_compare(spark, assets):
-    images = scan_folder(spark, str(assets / "mixed"))
-    with pytest.raises(ValueError):
-        dedup.compare(images, most=3)
+def test_lists_of_any_length_are_compared(spark):
+    images = spark.range(300).selectExpr("id", "concat('/', id) AS physical_path", "id AS hash")
+    assert dedup.compare(images).count() == 300 * 299 // 2
+    one = dedup.compare(images.where("id < 2"), distance=lambda a, b: F.abs(a - b).cast("int")).first()
+    assert one["similarity"] == 63 / 64
+
+
+def test_range_search_and_its_metric(spark):
+    images = spark.createDataFrame([(1, 0b1111), (2, 0b0111), (3, 0b0000), (4, -1)], "id long, hash long")
+    assert sorted((r["id"], r["distance"]) for r in range_search(images, 0b1111, 1).collect()) == [(1, 0), (2, 1)]
+    assert sorted(r["id"] for r in range_search(images, 15, 8, lambda a, b: F.abs(a - b)).collect()) == [1, 2]
+    assert range_search(images.limit(0), 1, 64).count() == 0
+
+
+def test_questions_say_what_is_compared(assets, monkeypatch, capsys):
+    asked, shown = [], []
+    monkeypatch.setattr("builtins.input", lambda text: asked.append(text))
+    monkeypatch.setattr("nearfold.cli.subprocess.Popen", lambda argv, **_: shown.append(argv))
+    assert cli.main(["dedup", "-p", str(assets / "pair"), "-ds", "90", "-a", "Nothing", "--viewer", "show -x", "-v"]) == 0
+    text = capsys.readouterr()
+    assert len(asked) == 1 and asked[0].count("resolution") == 2 and "resolution 16384" in asked[0].split("Nothing")[0]
+    assert [(a[:2], os.path.basename(a[2])) for a in shown] == [(["show", "-x"], "p2.png"), (["show", "-x"], "p1.png")]
+    assert "2 files" in text.out and "grayscale" in text.out and "nothing was done" in text.err and "100% read" in text.err
+
+
+def test_patch_tells_its_totals(assets, capsys):
+    assert cli.main(["dedup-patch", "-s", str(assets / "pair"), "-d", str(assets / "mixed"), "-ds", "90"]) == 0
+    assert capsys.readouterr().out.splitlines()[-1].startswith("6 images, 4 of them in 2 groups: 0 images")
 
 
 def test_stream_takes_every_image_once(spark, assets, tmp_path):

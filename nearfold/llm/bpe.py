@@ -5,8 +5,10 @@ the chunks are dealt over the cluster and pre-tokenised apart. A match of the pa
 depends only on what follows its start, so from the first boundary that two neighbours
 both found in their overlap they agree for good: there the chunks are stitched. The
 pieces between two stitches are encoded where they lie, and the ids of a text are put
-together in order. If two neighbours share no boundary (one token longer than the
-overlap), the rest of that text is encoded as one piece. No setting changes the ids.
+together in order. Neighbours that share no boundary (one token longer than the overlap)
+are encoded as one piece, up to the next stitch; if the matches of that piece do not come
+to the boundary of this stitch, so that it was none, the text is encoded whole. No setting
+changes the ids.
 
 Null and empty texts get no ids. Repeated rows are encoded once if long. All columns are
 kept; an output column replaces an input column of the same name.
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfold.llm.common import fresh, give_back, slices, small_batches
+from nearfold.llm.common import fresh, give_back, slices, small_batches, stored
 
 #: A match is settled once this many characters after its start are known (the longest
 #: contraction of the pattern has three).
@@ -58,6 +60,10 @@ class Encoder(dict):
     def ids(self, text: str, starts: int = 0, ends: int | None = None) -> np.ndarray:
         """Ids of the matches from the boundary `starts` to the boundary `ends`. The text
         behind `ends` must be there: what follows white space decides how it is split."""
+        return self.ids_upto(text, starts, ends)[0]
+
+    def ids_upto(self, text: str, starts: int, ends: int | None) -> tuple[np.ndarray, bool]:
+        """The ids, and whether a match ends at `ends`."""
         out: list[int] = []
         at, ends = starts, len(text) if ends is None else ends
         for piece in self.pattern.findall(text, starts):
@@ -65,7 +71,7 @@ class Encoder(dict):
                 break
             at += len(piece)
             out += self[piece]
-        return np.array(out, dtype=np.int32)
+        return np.array(out, dtype=np.int32), at == ends
 
 
 _encoders: dict[tuple[int, str], Encoder] = {}
@@ -157,9 +163,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     met = F.array_min(F.array_intersect("head", F.lag("tail").over(in_text)))
     marked = chunks.mapInArrow(mark, f"{chunk_schema}, head array<long>, tail array<long>")
     stitched = marked.select("_key", "k", "at", "chunk", F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(met).alias("meets"))
-    # Behind the first failed stitch nothing is known to agree: one span from there on.
-    broken = F.min(F.when(F.col("meets").isNull(), F.col("k"))).over(in_text)
-    spans = stitched.withColumn("span", F.coalesce(broken - 1, F.col("k"))).withColumn("starts", F.when(F.col("span") == F.col("k"), F.col("meets")))
+    # A chunk without a stitch goes with the one before it.
+    spans = stitched.withColumn("span", F.max(F.when(F.col("meets").isNotNull(), F.col("k"))).over(in_text)).withColumn("starts", F.when(F.col("span") == F.col("k"), F.col("meets")))
     spans = spans.groupBy("_key", "span").agg(F.min("starts").alias("starts"), F.array_sort(F.collect_list(F.struct("k", "at", "chunk"))).alias("chunks"))
     spans = spans.withColumn("ends", F.lead("starts").over(Window.partitionBy("_key").orderBy("span")))
 
@@ -169,10 +174,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             for key, span, starts, rows, ends in zip(*(b.column(c).to_pylist() for c in ("_key", "span", "starts", "chunks", "ends")), strict=True):
                 body = "".join(x["chunk"][:chunk_chars] for x in rows[:-1]) + rows[-1]["chunk"]
                 base = rows[0]["at"]
-                ids = enc.ids(body, starts - base, None if ends is None else ends - base)
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([span], pa.int32()), lists([ids])], names=["_key", "span", "ids"])
-
-    encoded = spans.mapInArrow(piece, T.StructType([T.StructField("_key", T.StringType()), T.StructField("span", T.IntegerType()), T.StructField("ids", ids_type)]))
+                ids, fits = enc.ids_upto(body, starts - base, None if ends is None else ends - base)
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([span], pa.int32()), lists([ids]), pa.array([fits or ends is None])], names=["_key", "span", "ids", "fits"])
+
+    encoded = spans.mapInArrow(piece, T.StructType([T.StructField("_key", T.StringType()), T.StructField("span", T.IntegerType()), T.StructField("ids", ids_type), T.StructField("fits", T.BooleanType())]))
+    encoded = stored(encoded, "pieces")
+    astray = encoded.where(~F.col("fits")).select("_key").distinct()
+    if not astray.isEmpty():
+        # Only such texts are read again, and whole.
+        again = long.join(astray.withColumnRenamed("_key", name), name, "left_semi")
+        short = short.unionByName(again.select(*keep, text).mapInArrow(whole, schema))
+        encoded = encoded.join(astray, "_key", "left_anti")
     joined = encoded.groupBy("_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("span", "ids"))), lambda x: x["ids"])).alias(out_col))
     if decoded_col:
         joined = decode(joined, ranks_path, out_col, decoded_col)

@@ -4,6 +4,8 @@ import re
 import string
 from collections import Counter
 
+import zstandard
+
 from nearfold.llm import rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,3 +110,37 @@ def test_passages_of_ordinary_documents_are_judged(spark):
     assert [i for i, r in out.items() if r["kept"]] == ["prose", "short"]
     assert not any(out[i]["base_failed"] for i in rows)
     assert out["short"]["n_chunks"] == 2 and out["short"]["n_bad_chunks"] == 0
+
+
+def by_hand(text):
+    """ratio, chunks, bad chunks and the verdict of the bands, step by step."""
+    raw = (text or "").encode()
+    squeezed = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x)) / len(x)
+
+    def fits(x, band):
+        wide = sum(b in range(0xE3, 0xEE) or b in range(0xF0, 0xF5) for b in x)
+        most = band[1] + min(1.0, 3 * wide / len(x)) * (band[2] - band[1])
+        return band[0] <= squeezed(x) <= most
+
+    bands = [b[1:] for b in rules.BANDS if len(raw) >= b[0]]
+    chunks, at = [], 0
+    while len(raw) >= 2048 and at < len(raw):
+        start = min(at, len(raw) - 2048)
+        chunks.append(raw[start : start + 2048])
+        at += 2048
+    bad = sum(not fits(x, rules.CHUNK_BAND) for x in chunks)
+    kept = (not bands or fits(raw, bands[-1])) and 10 * bad <= len(chunks)
+    return squeezed(raw) if raw else None, len(chunks), bad, kept
+
+
+def test_bands_equal_brute_force(spark):
+    rng = random.Random(12)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    rows = texts() + [r["text"] for r in docs] + [junk(kind, n, rng) for kind in ("base64", "cjk", "letters", "hex") for n in (300, 2047, 2048, 2049, 9000)]
+    rows += [rows[-1] + "the same line again and again\n" * n for n in (3, 80, 700)]
+    seen = set()
+    for i, r in judged(spark, {str(i): t for i, t in enumerate(rows)}).items():
+        ratio, chunks, bad, kept = by_hand(rows[int(i)])
+        assert (r["ratio"], r["n_chunks"], r["n_bad_chunks"]) == (ratio, chunks, bad) and r["kept"] == (kept and not r["base_failed"])
+        seen.add((r["base_failed"], kept))
+    assert {(False, True), (False, False)} <= seen

@@ -294,15 +294,9 @@ def labelled_table(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of every block of the labelled pages."""
     xs, ys = [], []
     for page in labelled_pages(seed):
-        marked = "".join(part for _, part in page)
-        found = blocks(marked)
-        labels, done = [], 0
-        upto = ""
-        for label, part in page:
-            upto += part
-            now = len(blocks(upto))
-            labels += [label] * (now - done)
-            done = now
+        found = blocks("".join(part for _, part in page))
+        # Every part closes what it opens but for the article, so it has its blocks by itself.
+        labels = [label for label, part in page for _ in blocks(part)]
         xs.append(described(found))
         ys += labels
     return np.vstack(xs), np.array(ys, float)

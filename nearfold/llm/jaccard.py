@@ -18,9 +18,10 @@ join runs between classes, in these steps.
    verified once by the whole sets.
 4. Long posting lists hold families of near copies. First the members of a list meet a
    few pivots of the list only, and linked classes are merged, some rounds long; then all
-   pairs of a list that are still apart and have not met are candidates. So a family does
-   not cost the pairs of its members, and no link between different components is missed:
-   the components are exact.
+   pairs of a list that are still apart and have not met are candidates, found from the
+   members outside the list's largest component. A list is done once each member was a
+   pivot. So a family does not cost the pairs of its members, and no link between
+   different components is missed: the components are exact.
 
 Empty documents (null, no words) have no shingles and link with nothing. Null ids take
 part and get the smallest id they reach, null if none has one. Repeated rows are one class.
@@ -319,19 +320,23 @@ def classes_linked(sets: DataFrame, num: int, den: int, rounds: tuple[int, ...]
         dropped(entries)
         # Lists of one component are done, and stay so. The open ones are written, so that
         # they are joined by their size, and a long list is split where it is joined.
-        lists = stored(now.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")).where("least <> most").select("gram", "members"), "lists")
+        sizes = now.groupBy("gram", "component").agg(F.count("*").alias("members"))
+        top = sizes.groupBy("gram").agg(F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("members"))
+        lists = stored(top.where("top.members < members").select("gram", F.col("top.component").alias("largest"), "members"), "lists")
         if lists.isEmpty():
             break
         open_ = stored(now.join(lists, "gram"), "open")
         dropped(now)
-        entries = open_.select("gram", "node", "n", "pos")
-        others = open_.select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"), "members")
+        others = open_.select("gram", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"), F.col("largest").alias("largest2"), F.col("members").alias("members2"))
         if pivots:
             # Others in each round, by a seeded hash; all members of short lists.
             chance = F.pmod(F.xxhash64("node2", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-            pairs = open_.drop("members").join(others.where(chance * F.col("members") < pivots).drop("members"), "gram").where("component <> component2")
+            pairs = open_.join(others.where(chance * F.col("members2") < pivots), "gram").where("component <> component2")
         else:
-            pairs = open_.join(others.drop("members"), "gram").where("component < component2")
+            # Of two members apart, one at least is outside the list's largest component.
+            pairs = open_.join(others.where("component2 <> largest2"), "gram").where("component <> component2 and (component = largest or component < component2)")
+        # A list all of whose members were pivots is done.
+        entries = open_.where(F.col("members") > pivots).select("gram", "node", "n", "pos")
         found = stored(verify(met(pairs.where(filters(num, den))), sets, num, den), "verified")
         # Linked pairs are in one component from now on and do not meet again.
         no = found.where("not linked").select("a", "b")

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.functions.similarity import BITS, hamming
+from nearfold.operators.meetings import LISTED, met
 from nearfold.tables import stored
 
 
@@ -65,21 +67,34 @@ def first_choice(difference: Column, blocks: Blocks) -> Column:
     return F.array_position(F.transform(F.array(*(F.lit(m) for m in joint)), lambda m: difference.bitwiseAND(m) == 0), True) - 1
 
 
+def close_values(frame: DataFrame, k: int, become: tuple[Callable, str], hashes: int | None = None) -> DataFrame:
+    """What `become` (LISTED, WEIGHED, SPANNED) makes of the pairs of distinct hashes at
+    distance k or less. frame: hash, without repetitions, and value, a long that goes with
+    it to wherever the hash is compared, so that pairs need no join with what they stand for."""
+    if not 0 <= k < BITS:
+        raise ValueError("k must lie between 0 and 63")
+    frame = frame.where("hash is not null")
+    hashes = frame.count() if hashes is None else hashes
+    blocks = choose_blocks(k, hashes)
+    masks = blocks.masks()
+    earlier = [[masks[i] for i in range(max(c)) if i not in c] for c in blocks.choices()]
+    return met(filed(frame, "hash", blocks), earlier, k, hashes, become)
+
+
 def close_hashes(left: DataFrame, right: DataFrame | None, k: int, rows: int | None = None) -> DataFrame:
     """hash_a, hash_b, dist of all pairs of distinct hashes at distance k or less: of one
     frame with hash_a < hash_b, or of two frames, equal hashes included. Both frames have
     one column, hash, without repetitions. k from 0 to 63."""
     if not 0 <= k < BITS:
         raise ValueError("k must lie between 0 and 63")
+    if right is None:
+        return close_values(left.select("hash", F.col("hash").alias("value")), k, LISTED, rows).toDF("hash_a", "hash_b", "dist")
     blocks = choose_blocks(k, left.count() if rows is None else rows)
     a = filed(left.select(F.col("hash").alias("hash_a")), "hash_a", blocks)
-    b = filed((left if right is None else right).select(F.col("hash").alias("hash_b")), "hash_b", blocks)
-    near = hamming(F.col("hash_a"), F.col("hash_b")) <= k
-    if right is None:
-        near &= F.col("hash_a") < F.col("hash_b")
-    met = a.join(b, ["choice", "key"]).where(near)
+    b = filed(right.select(F.col("hash").alias("hash_b")), "hash_b", blocks)
+    both = a.join(b, ["choice", "key"]).where(hamming(F.col("hash_a"), F.col("hash_b")) <= k)
     difference = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
-    once = met.where(F.col("choice") == first_choice(difference, blocks))
+    once = both.where(F.col("choice") == first_choice(difference, blocks))
     return once.select("hash_a", "hash_b", hamming(F.col("hash_a"), F.col("hash_b")).cast("int").alias("dist"))
 
 
@@ -97,10 +112,8 @@ def similarity_edges(images: DataFrame, k: int) -> DataFrame:
     same = images.join(reps, "hash").where("id <> rep").select(F.col("rep").alias("src_id"), F.col("id").alias("dst_id"), F.lit(0).alias("dist"))
     if k == 0:
         return same
-    pairs = close_hashes(reps.select("hash"), None, min(k, BITS - 1))
-    one, two = (reps.select(F.col("hash").alias(f"hash_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab")
-    named = pairs.join(one, "hash_a").join(two, "hash_b")
-    return same.unionByName(named.select(F.least("rep_a", "rep_b").alias("src_id"), F.greatest("rep_a", "rep_b").alias("dst_id"), "dist"))
+    pairs = close_values(reps.select("hash", F.col("rep").alias("value")), min(k, BITS - 1), LISTED)
+    return same.unionByName(pairs.toDF("src_id", "dst_id", "dist"))
 
 
 def distance_histogram(images: DataFrame, k: int) -> DataFrame:

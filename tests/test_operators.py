@@ -1,10 +1,11 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
 from nearfold.functions.similarity import max_distance
-from nearfold.operators import edges, groups, keep, matches
+from nearfold.operators import edges, groups, keep, matches, meetings
 from nearfold.operators.components import components
 from nearfold.schema import MAPPED_IMAGE
 
@@ -129,3 +130,41 @@ def test_matches(spark):
     assert sorted(r["id"] for r in matches.with_match(mine, other, 96).collect()) == [1, 2]
     assert matches.without_match(mine, other, 101).count() == 3
     assert max_distance(96) == 3
+
+
+def clumped(seed, n):
+    """Distinct hashes around a few centres, so that many share every block."""
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
+    flips = sum(np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64) for _ in range(3))
+    return [signed(int(h)) for h in np.unique(rng.choice(centres, n) ^ flips)]
+
+
+def brute(table, k):
+    x = np.array(table, np.int64).view(np.uint64)
+    d = np.bitwise_count(x[:, None] ^ x)
+    return [(int(i), int(j), int(d[i, j])) for i, j in zip(*np.nonzero(np.triu(d <= k, 1)), strict=True)]
+
+
+@pytest.mark.parametrize("hot", [meetings.HOT, 40])
+def test_clumped_hashes_and_hot_keys_lose_and_repeat_no_pair(spark, monkeypatch, hot):
+    table = clumped(3, 600)
+    want = sorted(brute(table, 6))
+    blocks = edges.choose_blocks(6, len(table))
+    frame = spark.createDataFrame([(h, i) for i, h in enumerate(table)], "hash long, value long")
+    masks = blocks.masks()
+    earlier = [[masks[i] for i in range(max(c)) if i not in c] for c in blocks.choices()]
+    rows = edges.filed(frame, "hash", blocks)
+    assert len(want) > 5000 and sorted(tuple(r) for r in meetings.met(rows, earlier, 6, len(table), meetings.LISTED, hot).collect()) == want
+    monkeypatch.setattr(meetings, "BATCH", 100)
+    monkeypatch.setattr(meetings, "CELLS", 500)
+    batches = meetings.dealt(rows, len(table), len(earlier), hot).orderBy("choice", "key", "cell").toArrow().to_batches(max_chunksize=37)
+    found = [(*sorted((int(a), int(b))), distance(int(x), int(y))) for p in meetings.meetings(batches, earlier, 6) for x, y, a, b in zip(*p, strict=True)]
+    assert sorted(found) == want
+
+
+def test_edges_join_no_pairs(spark):
+    """What a pair stands for travels with its hashes: pairs are not dealt out again to be named."""
+    table = images(spark, [(i, h) for i, h in enumerate(clumped(4, 200))])
+    plan = edges.similarity_edges(table, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "hash_a" not in plan and "MapInArrow" in plan

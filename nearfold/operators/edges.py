@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.functions.similarity import BITS, hamming
-from nearfold.operators.meetings import LISTED, met
+from nearfold.operators.meetings import LISTED, WEIGHED, met
 from nearfold.tables import stored
 
 
@@ -121,6 +121,5 @@ def distance_histogram(images: DataFrame, k: int) -> DataFrame:
     pairs that they make, without making them."""
     holders = stored(images.groupBy("hash").agg(F.count("*").alias("n")), "hashes")
     same = holders.where("n > 1").select(F.lit(0).alias("dist"), F.expr("n * (n - 1) div 2").alias("w"))
-    one, two = (holders.select(F.col("hash").alias(f"hash_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    near = close_hashes(holders.select("hash"), None, k).join(one, "hash_a").join(two, "hash_b").select("dist", F.expr("n_a * n_b").alias("w"))
+    near = close_values(holders.select("hash", F.col("n").alias("value")), k, WEIGHED)
     return same.unionByName(near).groupBy("dist").agg(F.sum("w").alias("pairs"))

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nearfold.functions.similarity import max_distance
 from nearfold.operators import edges, groups, keep, matches, meetings
@@ -161,10 +162,13 @@ def test_clumped_hashes_and_hot_keys_lose_and_repeat_no_pair(spark, monkeypatch,
     batches = meetings.dealt(rows, len(table), len(earlier), hot).orderBy("choice", "key", "cell").toArrow().to_batches(max_chunksize=37)
     found = [(*sorted((int(a), int(b))), distance(int(x), int(y))) for p in meetings.meetings(batches, earlier, 6) for x, y, a, b in zip(*p, strict=True)]
     assert sorted(found) == want
+    weights = {r["dist"]: r["w"] for r in meetings.met(rows, earlier, 6, len(table), meetings.WEIGHED, hot).groupBy("dist").agg(F.sum("w").alias("w")).collect()}
+    assert weights == {d: sum(i * j for i, j, e in want if e == d) for d in {e for _, _, e in want}}
 
 
-def test_edges_join_no_pairs(spark):
+def test_edges_and_histogram_join_no_pairs(spark):
     """What a pair stands for travels with its hashes: pairs are not dealt out again to be named."""
     table = images(spark, [(i, h) for i, h in enumerate(clumped(4, 200))])
-    plan = edges.similarity_edges(table, 6)._jdf.queryExecution().optimizedPlan().toString()
-    assert "hash_a" not in plan and "MapInArrow" in plan
+    for frame in (edges.similarity_edges(table, 6), edges.distance_histogram(table, 6)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "hash_a" not in plan and "MapInArrow" in plan

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from nearfold.functions.similarity import BITS, max_distance
 from nearfold.operators.components import components
-from nearfold.operators.edges import close_hashes
+from nearfold.operators.edges import close_values
+from nearfold.operators.meetings import SPANNED
 from nearfold.tables import stored
 
 
@@ -25,8 +26,7 @@ def group_images(images: DataFrame, bar: int, keep_singletons: bool = False) ->
     elif k == 0:
         roots = holders.withColumn("root", F.col("hash"))
     else:
-        pairs = close_hashes(holders.select("hash"), None, k, holders.count())
-        labels = components(pairs.select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b")))
+        labels = components(close_values(holders.select("hash", F.col("hash").alias("value")), k, SPANNED))
         roots = holders.join(labels.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("component", "hash")).drop("component")
     sums = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
     named = roots.select("hash", "root").join(sums, "root").drop("root")

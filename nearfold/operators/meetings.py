@@ -183,20 +183,22 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spanned(pairs: Iterable[Pairs], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """a, b: edges that join the same values as all pairs of the task do; fewer than it has
-    values, unless those of `most` pairs join nothing."""
+    """a, b: an edge from each value to the least that the pairs of the task join it with,
+    whatever the order of the pairs. most: pairs that are held until they are reduced."""
     held, many = [], 0
+
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        return stars(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+
     for _, _, va, vb in pairs:
         held.append((va, vb))
         many += len(va)
         if many >= most:
-            held = [stars(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))]
+            held = [reduced()]
             many = len(held[0][0])
-            if many >= most // 2:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["a", "b"])
-                held, many = [], 0
+            most = max(most, 2 * many)
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in reduced()], ["a", "b"])
 
 
 #: What becomes of the pairs, and its columns.

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,45 @@ def test_edges_and_histogram_join_no_pairs(spark):
     for frame in (edges.similarity_edges(table, 6), edges.distance_histogram(table, 6)):
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         assert "hash_a" not in plan and "MapInArrow" in plan
+
+
+def test_stars_reach_what_the_edges_reach():
+    rng = np.random.default_rng(5)
+    for n, m in ((30, 20), (400, 380), (5, 0)):
+        a, b = rng.integers(-n, n, m), rng.integers(-n, n, m)
+        root = {int(x): int(x) for x in np.concatenate([a, b])}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            lo, hi = sorted((find(x), find(y)))
+            root[hi] = lo
+        assert sorted(zip(*(x.tolist() for x in meetings.stars(a, b)), strict=True)) == sorted((find(i), i) for i in root if find(i) != i)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 50])
+def test_tasks_hand_on_fewer_edges_than_pairs(most):
+    table = clumped(6, 300)
+    pairs = brute(table, 6)
+    a, b = (np.array([p[i] for p in pairs]) for i in (0, 1))
+    cut = range(0, len(a), 20)
+    out = pa.Table.from_batches(meetings.spanned(((a[i : i + 20], b[i : i + 20], a[i : i + 20], b[i : i + 20]) for i in cut), most))
+    whole, told = (sorted(zip(*(x.tolist() for x in meetings.stars(*e)), strict=True)) for e in ((a, b), (out["a"].to_numpy(), out["b"].to_numpy())))
+    assert told == whole
+    assert len(out) < len(table) < len(pairs)
+
+
+def test_groups_of_clumped_hashes_hand_on_no_list_of_pairs(spark, monkeypatch):
+    table = clumped(7, 400)
+    sent = []
+    real = groups.components
+    monkeypatch.setattr(groups, "components", lambda e: (sent.append(e.count()), real(e))[1])
+    out = {r["id"]: r["component_id"] for r in groups.group_images(images(spark, list(enumerate(table))), 90).collect()}
+    pairs = brute(table, 6)
+    a, b = (np.array([p[i] for p in pairs]) for i in (0, 1))
+    root, node = (x.tolist() for x in meetings.stars(a, b))
+    assert out == dict(zip(node, root, strict=True)) | {r: r for r in root}
+    assert sent[0] < len(pairs) / 2

@@ -2,7 +2,7 @@
 
 Two hashes at distance k or less, cut into b > k blocks, agree on b - k blocks at least.
 So every hash is filed under each choice of b - k blocks, and hashes that meet under a key
-are compared: an equi-join that loses no pair. b follows the number of hashes: the more
+are compared: this loses no pair. b follows the number of hashes: the more
 there are, the longer the keys, so that a key holds few of them at any size.
 """
 

@@ -52,6 +52,9 @@ BUCKET_GRAMS = 1_000_000
 #: Bytes of text, and documents, of a block. A document's number in it has 16 bits.
 BLOCK_CHARS, BLOCK_ROWS = 4 << 20, 1 << 16
 
+#: Bytes of a block's rows that are sent at once, but for single rows.
+SENT_BYTES = 1 << 20
+
 #: So many ids (16 MB) are sent to all executors, counted first, so that texts are not
 #: shuffled for a few of them; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -92,17 +95,39 @@ class Dealt:
             at = end
 
 
+def first_of_each(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value of an ordered array begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+
+
 def deal(sets: Sequence[np.ndarray], buckets: int) -> Dealt:
+    """An executor has several workers beside its heap, so arrays of a block's length are
+    few at a time, and go as soon as they are used."""
     grams = np.concatenate([*sets, np.zeros(0, np.uint64)])
     owners = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
-    found, first, which, times = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
-    where = bucket_of(found, buckets)
-    turn = np.argsort((where << 16) | owners[first], kind="stable")
-    rank = np.empty(len(turn), np.int64)
-    rank[turn] = np.arange(len(turn))
-    by_gram = np.argsort(rank[which.reshape(-1)], kind="stable")
-    ends = np.flatnonzero(np.diff(where[turn], append=-1)) + 1 if len(turn) else np.zeros(0, np.int64)
-    return Dealt(found[turn], times[turn], owners[by_gram], where[turn][ends - 1], ends)
+    turn = np.argsort(grams, kind="stable")
+    grams, owners = grams[turn], owners[turn]
+    del turn
+    at = first_of_each(grams)
+    found = grams[at]
+    del grams
+    # Ordered grams are in order of bucket.
+    key = bucket_of(found, buckets)
+    ends = np.flatnonzero(np.diff(key, append=-1)) + 1 if len(key) else np.zeros(0, np.int64)
+    where = key[ends - 1]
+    key <<= 16
+    key |= owners[at]
+    turn = np.argsort(key, kind="stable")
+    del key
+    found = found[turn]
+    times = np.diff(at, append=len(owners))[turn]
+    at = at[turn]
+    del turn
+    at -= np.cumsum(times) - times
+    by_gram = np.repeat(at, times)
+    del at
+    by_gram += np.arange(len(owners))
+    return Dealt(found, times, owners[by_gram], where, ends)
 
 
 def narrow(counts: np.ndarray) -> bytes:
@@ -117,9 +142,15 @@ def widened(raw: bytes, n: int) -> np.ndarray:
 def totals(grams: Sequence[np.ndarray], times: Sequence[np.ndarray] | None = None) -> list[np.ndarray]:
     """For each gram of each part the sum of its times (one each, if not given)."""
     every = np.concatenate(grams)
-    _, which = np.unique(every, return_inverse=True)
-    sums = np.bincount(which.reshape(-1), weights=None if times is None else np.concatenate(times)).astype(np.int64)
-    return np.split(sums[which.reshape(-1)], np.cumsum([len(g) for g in grams])[:-1])
+    turn = np.argsort(every)
+    every = every[turn]
+    at = first_of_each(every)
+    del every
+    each = np.diff(at, append=len(turn))
+    sums = each if times is None or not len(at) else np.add.reduceat(np.concatenate(times)[turn], at)
+    out = np.empty(len(turn), np.int64)
+    out[turn] = np.repeat(sums, each)
+    return np.split(out, np.cumsum([len(g) for g in grams])[:-1])
 
 
 def cut_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, list[np.ndarray], list]]:
@@ -155,6 +186,24 @@ def blank(bucket: int, block: str, kind: int, **filled) -> dict:
     return {"bucket": bucket, "block": block, "kind": kind, "a": None, "b": None, "c": None, "ids": None} | filled
 
 
+def sent(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """The rows of a block, SENT_BYTES at a time, taken from the list as they go; then what
+    the block took goes back, so that the next one does not come on top of it."""
+    rows.reverse()
+    part, taken = [], 0
+    while rows:
+        more = sum(len(rows[-1][x] or b"") for x in "abc")
+        if part and taken + more > SENT_BYTES:
+            yield pa.RecordBatch.from_pylist(part, schema=PACK_ARROW)
+            part, taken = [], 0
+        part.append(rows.pop())
+        taken += more
+    if part:
+        yield pa.RecordBatch.from_pylist(part, schema=PACK_ARROW)
+    part.clear()
+    give_back()
+
+
 def shared_counts(docs: DataFrame, buckets: int, size: int) -> DataFrame:
     """id, class (digest of the set), n (its size) and shared (grams that other documents
     have too; seldom too many, as 32 bits of a gram are compared) of all documents."""
@@ -164,7 +213,8 @@ def shared_counts(docs: DataFrame, buckets: int, size: int) -> DataFrame:
             dealt = deal(sets, buckets)
             rows = [blank(k, block, COUNTS, a=dealt.grams[at].astype(np.uint32).tobytes()) for k, at in dealt.parts()]
             rows.append(blank(hash_of(block) % buckets, block, ROWS, a=dealt.owners.tobytes(), b=b"".join(map(S.digest, sets)), c=narrow(dealt.times), ids=ids))
-            yield pa.RecordBatch.from_pylist(rows, schema=PACK_ARROW)
+            del dealt, sets, ids
+            yield from sent(rows)
 
     def count(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -209,7 +259,8 @@ def ordered_sets(docs: DataFrame, buckets: int, size: int, num: int, den: int) -
             dealt = deal(sets, buckets)
             rows = [blank(k, block, COUNTS, a=dealt.grams[at].tobytes(), c=narrow(dealt.times[at])) for k, at in dealt.parts()]
             rows.append(blank(hash_of(block) % buckets, block, ROWS, a=dealt.owners.tobytes(), b=b"".join(map(S.digest, sets)), c=narrow(dealt.times)))
-            yield pa.RecordBatch.from_pylist(rows, schema=PACK_ARROW)
+            del dealt, sets, _
+            yield from sent(rows)
 
     def count(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()

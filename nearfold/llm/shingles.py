@@ -11,6 +11,9 @@ import pyarrow.compute as pc
 #: Fixed odd multipliers of the hashes.
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
+#: Bytes of text whose words are hashed at once.
+PIECE = 1 << 17
+
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -47,10 +50,18 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    used = np.flatnonzero(word)
-    place = used - starts[np.cumsum(first[used]) - 1]
-    sums = np.add.reduceat((_LOWER[raw[used]].astype(np.uint64) + np.uint64(1)) * powers(int(place.max()) + 1)[place], np.searchsorted(used, starts))
-    return mixed(sums), np.bincount(np.searchsorted(ends, starts, side="right") - 1, minlength=n)
+    owner = np.searchsorted(ends, starts, side="right") - 1
+    # Some words at a time: what is worked out for every byte takes many times its size.
+    cuts = np.searchsorted(starts, np.arange(0, len(raw), PIECE))
+    cuts = np.unique(np.append(cuts, (0, len(starts))))
+    sums = np.empty(len(starts), np.uint64)
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        begin, end = starts[low], starts[high] if high < len(starts) else len(raw)
+        used = np.flatnonzero(word[begin:end])
+        place = used - (starts[low:high] - begin)[np.cumsum(first[begin:end][used]) - 1]
+        part = (_LOWER[raw[begin:end][used]].astype(np.uint64) + np.uint64(1)) * powers(int(place.max()) + 1)[place]
+        sums[low:high] = np.add.reduceat(part, np.searchsorted(used, starts[low:high] - begin))
+    return mixed(sums), np.bincount(owner, minlength=n)
 
 
 def shingle_sets(texts: pa.Array, size: int = 5) -> list[np.ndarray]:

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -171,3 +172,41 @@ def test_input_in_no_order_is_written_first(spark, tmp_path):
     assert J.steady(files.where("doc_id > 3").select("text"), "x")._jdf.queryExecution().optimizedPlan().toString().count("Filter") == 1
     shuffled = files.repartition(5).groupBy("doc_id").agg({"text": "max"})
     assert "Aggregate" not in J.steady(shuffled, "x")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_hashed_alike_at_any_piece(monkeypatch):
+    texts = [None, "", " \n", "a", "A b", " a B c d ", "É é E e a a a a a a a", "x\x0b\x0cy z\tq r\x1cs t", "the " * 50, "long" * 40, " " * 90 + "b"]
+    whole, counts = S.word_hashes(pa.array(texts))
+    for piece in (1, 2, 7, 64):
+        monkeypatch.setattr(S, "PIECE", piece)
+        again, same = S.word_hashes(pa.array(texts))
+        assert np.array_equal(whole, again) and np.array_equal(counts, same)
+
+
+def taken(f):
+    """Bytes that a call takes at most at once, beside what it was given."""
+    tracemalloc.start()
+    out = f()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    del out
+    return most
+
+
+def test_a_worker_takes_little_beside_its_block():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64)) for _ in range(1000)]
+    grams = sum(map(len, sets))
+    times = [np.ones(len(s), np.int64) for s in sets]
+    assert taken(lambda: J.deal(sets, 17)) < 50 * grams
+    assert taken(lambda: J.totals(sets, times)) < 50 * grams
+    texts = pa.array([" ".join(f"w{i}" for i in range(300_000))])
+    assert taken(lambda: S.word_hashes(texts)) < 20 * texts.nbytes
+
+
+def test_a_block_is_sent_in_parts_whole_and_in_order():
+    rows = [J.blank(k, "x", J.COUNTS, a=bytes([k]) * (J.SENT_BYTES // 3)) for k in range(10)] + [J.blank(3, "x", J.ROWS, a=b"o" * 3 * J.SENT_BYTES, ids=[4, None])]
+    batches = list(J.sent(list(rows)))
+    assert [r for b in batches for r in b.to_pylist()] == rows
+    assert [b.num_rows for b in batches] == [3, 3, 3, 1, 1]
+    assert list(J.sent([])) == []

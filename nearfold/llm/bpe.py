@@ -114,6 +114,14 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", keep: list[str] | None = None, chunk_chars: int = 32_768, overlap: int = 512, decoded_col: str | None = None) -> DataFrame:
     """docs (or the columns `keep` of it) with the ids of every text, array<int>, and, if
     decoded_col is given, the bytes that the ids decode to."""
+    short, long, distinct, name = encoded_apart(docs, ranks_path, pattern, text_col, out_col, keep, chunk_chars, overlap, decoded_col)
+    return short.unionByName(long.join(distinct, name).drop(name))
+
+
+def encoded_apart(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", keep: list[str] | None = None, chunk_chars: int = 32_768, overlap: int = 512, decoded_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """What encode() puts together: the rows with short texts, encoded; the rows with long
+    ones, with a key of the text; the key and what is encoded of each long text, once; the
+    key's name."""
     if not 0 < overlap < chunk_chars:
         raise ValueError("overlap must lie between 0 and chunk_chars")
     spark = docs.sparkSession
@@ -188,7 +196,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     joined = encoded.groupBy("_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("span", "ids"))), lambda x: x["ids"])).alias(out_col))
     if decoded_col:
         joined = decode(joined, ranks_path, out_col, decoded_col)
-    return short.unionByName(long.drop(text).join(joined.withColumnRenamed("_key", name), name).drop(name))
+    return short, long.drop(text), joined.withColumnRenamed("_key", name), name
 
 
 def joined_bytes(table: dict[int, bytes], ids: Iterable[int]) -> bytes:
@@ -225,5 +233,7 @@ def ids_digest(ids: str | Column) -> Column:
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    back = encode(docs.select("doc_id", "text"), ranks_path, pattern, keep=["doc_id"], decoded_col="decoded")
-    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), ids_digest("token_ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    short, long, distinct, name = encoded_apart(docs.select("doc_id", "text"), ranks_path, pattern, keep=["doc_id"], decoded_col="decoded")
+    digests = [F.size("token_ids").cast("long").alias("n_tokens"), ids_digest("token_ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    # Made before the join, so that no ids and bytes are shuffled to the rows.
+    return short.select("doc_id", *digests).unionByName(long.join(distinct.select(name, *digests), name).drop(name))

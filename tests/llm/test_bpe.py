@@ -44,6 +44,41 @@ def test_round_trip_and_digests(spark, reference):
         assert out[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def exchanges(plan):
+    """Names of the columns that each exchange of a physical plan moves."""
+    children = plan.children()
+    found = [x for i in range(children.size()) for x in exchanges(children.apply(i))]
+    if plan.getClass().getSimpleName() == "ShuffleExchangeExec":
+        output = plan.output()
+        found.append([output.apply(i).name() for i in range(output.size())])
+    return found
+
+
+def test_long_texts_meet_their_rows_as_digests(spark, reference):
+    long = [" ".join(f"w{i * k % 977}" for i in range(9000)) for k in (3, 5)]
+    rows = [(1, long[0]), (2, long[1]), (3, long[0]), (None, long[0]), (4, "short"), (5, None)]
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = bpe.token_digests(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, P.PATTERN)
+        moved = exchanges(out._jdf.queryExecution().executedPlan())
+        got = sorted(map(tuple, out.collect()), key=str)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # Ids of a text are gathered once; neither they nor bytes go to the rows.
+    assert sum("ids" in x or "token_ids" in x or "buf" in x for x in moved) == 1, moved
+    assert not any("decoded" in x for x in moved), moved
+    want = []
+    for i, t in rows:
+        ids = reference.encode_ordinary(t or "")
+        digests = (hashlib.sha256(x).hexdigest() for x in (" ".join(map(str, ids)).encode(), (t or "").encode()))
+        want.append((i, len(ids), *digests))
+    assert got == sorted(want, key=str)
+
+
 def test_empty_table_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 7, "k")], "doc_id long, text string, Body string, token_ids int, _KEY string")
     for chunk in (100, 2):
